@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import ascii_lower, contains_any, is_comment, rtrim_ws, trim_ws
+from .text import (
+    ascii_lower,
+    contains_any,
+    is_comment,
+    let,
+    lower_contains_any,
+    rtrim_ws,
+    trim_ws,
+)
 
 
 def may_hold_sink(text: Column, language: Column) -> Column:
@@ -74,27 +82,42 @@ def trailing_name(text: Column) -> Column:
     return F.reverse(F.regexp_extract(F.reverse(rtrim_ws(text)), "^[A-Za-z0-9_]+", 0))
 
 
-def unguarded_update(text: Column) -> Column:
-    """Name of a shared-state variable the line updates without a guard, or NULL."""
-    low = ascii_lower(text)
-    plain = r"(?s)^(.*?)(?<![=!<>+\-*/])=(?!=)"
-    left = F.regexp_extract(low, plain, 1)
-    name = trailing_name(left)
-    right = F.substr(low, F.length(left) + 2)
-    tries = []
-    for op in V.COMPOUND_OPS:
-        target = trailing_name(F.substring_index(low, op, 1))
-        tries.append(F.when(F.contains(low, F.lit(op)) & target.isin(V.STATEFUL_NAMES), target))
-    tries.append(
+def _compound_target(low: Column) -> Column:
+    tries = [
         F.when(
-            name.isin(V.STATEFUL_NAMES)
-            & F.contains(right, name)
-            & (F.contains(right, F.lit("-")) | F.contains(right, F.lit("+"))),
-            name,
+            F.contains(low, F.lit(op)),
+            let(
+                trailing_name(F.substring_index(low, op, 1)),
+                lambda name: F.when(name.isin(V.STATEFUL_NAMES), name),
+            ),
+        )
+        for op in V.COMPOUND_OPS
+    ]
+    return F.coalesce(*tries)
+
+
+def _plain_target(low: Column) -> Column:
+    def judged(left: Column) -> Column:
+        right = F.substr(low, F.length(left) + 2)
+        changes = F.contains(right, F.lit("-")) | F.contains(right, F.lit("+"))
+        return let(
+            trailing_name(left),
+            lambda name: F.when(
+                name.isin(V.STATEFUL_NAMES) & F.contains(right, name) & changes, name
+            ),
         )
-    )
-    touches = F.contains(text, F.lit("=")) & contains_any(low, V.STATEFUL_NAMES)
-    return F.when(touches & ~contains_any(low, V.SYNC_WORDS), F.coalesce(*tries))
+
+    return let(F.regexp_extract(low, r"(?s)^(.*?)(?<![=!<>+\-*/])=(?!=)", 1), judged)
+
+
+def unguarded_update(text: Column) -> Column:
+    """Name of a shared-state variable the line updates without a guard, or NULL."""
+
+    def judged(low: Column) -> Column:
+        touches = contains_any(low, V.STATEFUL_NAMES) & ~contains_any(low, V.SYNC_WORDS)
+        return F.when(touches, F.coalesce(_compound_target(low), _plain_target(low)))
+
+    return F.when(F.contains(text, F.lit("=")), let(ascii_lower(text), judged))
 
 
 def reads_input(low: Column) -> Column:
@@ -115,13 +138,13 @@ def is_sanitized(low: Column) -> Column:
 
 
 def leaks_sql_error(body: Column) -> Column:
-    return contains_any(ascii_lower(body), V.SQL_ERROR_WORDS)
+    return lower_contains_any(body, V.SQL_ERROR_WORDS)
 
 
 def exposes_file(body: Column) -> Column:
-    return contains_any(ascii_lower(body), [w.lower() for w in V.EXPOSED_FILE_WORDS])
+    return lower_contains_any(body, [w.lower() for w in V.EXPOSED_FILE_WORDS])
 
 
 def is_traversal(payload: Column) -> Column:
-    return contains_any(ascii_lower(payload), V.TRAVERSAL_WORDS)
+    return lower_contains_any(payload, V.TRAVERSAL_WORDS)
 

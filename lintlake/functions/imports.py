@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import first_match, trim_ws
+from .text import first_match, let, trim_ws
 
 _QUOTED = r"""[^'"]*['"]([^'"]*)['"]"""
 
@@ -24,11 +24,10 @@ def package_root(module: Column) -> Column:
 
 
 def _rust(line: Column) -> Column:
-    rest = trim_ws(F.regexp_extract(line, r"(?s)^(?:pub )?use (.*)\z", 1))
+    rest = trim_ws(first_match(line, r"(?s)^(?:pub )?use (.*)\z"))
     head = trim_ws(F.substring_index(rest, ":", 1))
     head = trim_ws(F.rtrim(F.rtrim(head, F.lit(";")), F.lit("{")))
-    used = F.startswith(line, F.lit("use ")) | F.startswith(line, F.lit("pub use "))
-    return F.when(used & ~head.isin(V.RUST_LOCAL_HEADS), head)
+    return let(head, lambda h: F.when(~h.isin(V.RUST_LOCAL_HEADS), h))
 
 
 def _javascript(line: Column) -> Column:
@@ -37,8 +36,12 @@ def _javascript(line: Column) -> Column:
         first_match(line, r"(?s)^.*?require\(" + _QUOTED),
         F.when(F.startswith(line, F.lit("import ")), _first_quoted(line)),
     )
-    outside = ~F.startswith(quoted, F.lit(".")) & ~F.startswith(quoted, F.lit("/"))
-    return F.when(outside, package_root(quoted))
+    return let(
+        quoted,
+        lambda q: F.when(
+            ~F.startswith(q, F.lit(".")) & ~F.startswith(q, F.lit("/")), package_root(q)
+        ),
+    )
 
 
 def _python(line: Column) -> Column:
@@ -52,21 +55,27 @@ def _python(line: Column) -> Column:
 
 
 def _go(line: Column) -> Column:
-    path = _first_quoted(line)
-    return F.when(F.contains(F.substring_index(path, "/", 1), F.lit(".")), path)
+    return let(
+        _first_quoted(line),
+        lambda path: F.when(F.contains(F.substring_index(path, "/", 1), F.lit(".")), path),
+    )
 
 
 def _java(line: Column) -> Column:
-    rest = F.coalesce(
-        first_match(line, r"(?s)^import static (.*)\z"), first_match(line, r"(?s)^import (.*)\z")
+    rest = first_match(line, r"(?s)^import (?:static )?(.*)\z")
+    return let(
+        trim_ws(F.rtrim(trim_ws(rest), F.lit(";"))),
+        lambda path: F.when(
+            ~F.startswith(path, F.lit("java.")) & ~F.startswith(path, F.lit("javax.")),
+            F.substring_index(path, ".", 2),
+        ),
     )
-    path = trim_ws(F.rtrim(trim_ws(rest), F.lit(";")))
-    standard = F.startswith(path, F.lit("java.")) | F.startswith(path, F.lit("javax."))
-    return F.when(~standard, F.substring_index(path, ".", 2))
 
 
 def _ruby(line: Column) -> Column:
-    return F.when(F.startswith(line, F.lit("require ")), package_root(_first_quoted(line)))
+    return F.when(
+        F.startswith(line, F.lit("require ")), let(_first_quoted(line), package_root)
+    )
 
 
 def imported_modules(language: Column, lines: Column) -> Column:
@@ -78,7 +87,7 @@ def imported_modules(language: Column, lines: Column) -> Column:
 
     def extract(candidate_pattern, rule):
         wanted = F.filter(lines, lambda x: x.rlike(candidate_pattern))
-        found = F.transform(wanted, lambda x: rule(trim_ws(x)))
+        found = F.transform(F.transform(wanted, trim_ws), rule)
         return F.sort_array(F.array_distinct(F.filter(found, lambda m: m != "")))
 
     ws = r"^[\p{IsWhite_Space}]*"

@@ -53,14 +53,19 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in needed])
 
 
+def lower_contains_any(c: Column, words: Iterable[str]) -> Column:
+    """``contains_any`` on the ASCII lower-cased text, which is made only once."""
+    return F.exists(F.array(ascii_lower(c)), lambda low: contains_any(low, words))
+
+
 def any_word_pattern(words: Iterable[str], ignore_case: bool = False) -> str:
     body = "|".join(re.escape(w) for w in words)
     return f"(?i)(?:{body})" if ignore_case else f"(?:{body})"
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
-    """Like ``regexp_extract`` but NULL, not '', when nothing matches."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """Group of an anchored pattern, NULL (not '') when it does not match. One pass."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def split_lines(content: Column) -> Column:

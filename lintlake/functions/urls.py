@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match
+from .text import first_match, let
 
 # scheme, authority, rest
 _URL = r"(?s)^(https?)://([^/]*)(/.*)?\z"
@@ -16,30 +16,40 @@ def url_parts(url: Column) -> Column:
 
     The port is what follows the last ':' of the authority and must fit 16 bits.
     """
-    scheme = first_match(url, _URL, 1)
-    authority = F.regexp_extract(url, _URL, 2)
-    path = F.regexp_extract(url, _URL, 3)
-    has_port = F.contains(authority, F.lit(":"))
-    port_text = F.substring_index(authority, ":", -1)
-    host = F.when(
-        has_port, F.left(authority, F.length(authority) - F.length(port_text) - 1)
-    ).otherwise(authority)
-    port_ok = port_text.rlike(r"^\+?[0-9]+\z")
-    port = F.when(port_ok, port_text.try_cast("bigint"))
-    number = F.when(has_port, port).otherwise(F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80)))
-    valid = scheme.isNotNull() & (host != "") & number.between(0, 65535)
-    return F.when(
-        valid,
+    return let(
+        F.struct(
+            first_match(url, _URL, 1).alias("scheme"),
+            F.regexp_extract(url, _URL, 2).alias("authority"),
+            F.regexp_extract(url, _URL, 3).alias("path"),
+        ),
+        _parts,
+    )
+
+
+def _parts(u: Column) -> Column:
+    authority, secure = u["authority"], u["scheme"] == "https"
+    port_text = F.when(F.contains(authority, F.lit(":")), F.substring_index(authority, ":", -1))
+    default = F.when(secure, F.lit(443)).otherwise(F.lit(80)).cast("bigint")
+    port = F.when(port_text.isNull(), default).when(
+        port_text.rlike(r"^\+?[0-9]+\z"), port_text.try_cast("bigint")
+    )
+    host = F.left(authority, F.length(authority) - F.coalesce(F.length(port_text) + 1, F.lit(0)))
+    return let(
         F.struct(
             host.alias("host"),
-            number.cast("int").alias("port"),
-            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
-            (scheme == "https").alias("secure"),
+            port.alias("port"),
+            F.when(u["path"] == "", F.lit("/")).otherwise(u["path"]).alias("path"),
+            secure.alias("secure"),
         ),
+        lambda p: F.when((p["host"] != "") & p["port"].between(0, 65535) & p["secure"].isNotNull(), p),
     )
 
 
 def absolute_url(parts: Column) -> Column:
+    return let(parts, _absolute)
+
+
+def _absolute(parts: Column) -> Column:
     scheme = F.when(parts["secure"], F.lit("https")).otherwise(F.lit("http"))
     return F.concat(
         scheme, F.lit("://"), parts["host"], F.lit(":"), parts["port"].cast("string"), parts["path"]

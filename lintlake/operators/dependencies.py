@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.imports import imported_modules, path_idents
 from ..functions.text import normalize_name, split_lines
+from ..plans.sizing import computed_once
 from ..sources.manifests import declared_dependencies
 
 
 def file_imports(files: DataFrame) -> DataFrame:
     """Files that import something, with their sorted distinct modules. No shuffle."""
     imports = imported_modules(F.col("language"), split_lines(F.col("content")))
-    return files.select("project", "path", "language", imports.alias("imports")).where(
-        F.size("imports") > 0
+    made = computed_once(
+        files, project=F.col("project"), path=F.col("path"), language=F.col("language"), imports=imports
     )
+    return made.where(F.size("imports") > 0)
 
 
 def import_edges(files: DataFrame) -> DataFrame:
     """One row per file and imported module."""
-    return file_imports(files).select("project", "path", F.explode("imports").alias("module"))
+    imports = imported_modules(F.col("language"), split_lines(F.col("content")))
+    return files.select("project", "path", F.explode(imports).alias("module"))
 
 
 def used_names(files: DataFrame) -> DataFrame:

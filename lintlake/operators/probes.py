@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.codelines import is_traversal
-from ..functions.text import ascii_lower, contains_any
+from ..functions.text import ascii_lower, lower_contains_any
 from ..functions.urls import absolute_url, resolve_target, url_parts
 from ..schemas import EXPECTATIONS, PROBE_CASES
 
@@ -198,10 +198,10 @@ def issue_class() -> Column:
     """Issue id of an expanded case, by the first class that fits."""
     limited = F.exists("expectations", lambda e: e["kind"] == "blocked_after")
     in_send = F.exists(
-        F.map_values("send"), lambda v: contains_any(ascii_lower(v), V.SQLI_VALUE_WORDS)
+        F.map_values("send"), lambda v: lower_contains_any(v, V.SQLI_VALUE_WORDS)
     )
     in_message = F.coalesce(
-        contains_any(ascii_lower(F.col("message")), V.SQLI_MESSAGE_WORDS), F.lit(False)
+        lower_contains_any(F.col("message"), V.SQLI_MESSAGE_WORDS), F.lit(False)
     )
     return (
         F.when(F.coalesce(is_traversal(F.col("payload")), F.lit(False)), F.lit(V.ISSUE_TRAVERSAL))

@@ -12,12 +12,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import corpus_from_table
+from .sizing import computed_once, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc_instant(ts: Column) -> Column:
+    """The instant of a UTC wall-clock time, whatever the session time zone."""
+    return F.convert_timezone(
+        F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")
+    ).cast("timestamp")
+
+
+def utc_wall_time(ts: Column) -> Column:
+    """The UTC wall-clock time of an instant."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
+def _files(df: DataFrame, project: Column, path: Column, content: Column) -> DataFrame:
+    made = computed_once(df, project=project, path=path, content=content)
+    return corpus_from_table(made, F.col("project"), F.col("path"), F.col("content"))
+
+
 def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -91,13 +109,13 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The project is the document's source. Every third file has CRLF line ends.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     doc_id = F.col("doc_id")
     content = F.concat_ws("\n", "text", *[_code_line(doc_id, k) for k in range(LINES_PER_FILE)])
     content = F.when(doc_id % 3 == 0, F.replace(content, F.lit("\n"), F.lit("\r\n"))).otherwise(
         F.concat(content, F.lit("\n"))
     )
-    return corpus_from_table(docs, F.col("source"), doc_path(doc_id), content)
+    return _files(docs, F.col("source"), doc_path(doc_id), content)
 
 
 # Extension -> language, for the extensions used here.
@@ -164,7 +182,9 @@ def import_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The project comes from the customer, the modules from the order's keys and price.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey"
+    )
     key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("bigint")
     names = [_module(key), _module(key * 7 + 3), _module(price)]
     ext = _pick(IMPORT_EXTENSIONS, key)
@@ -174,7 +194,7 @@ def import_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat_ws("\n", F.lit("// header"), *lines, use)
     project = F.concat(F.lit("p"), F.pmod("o_custkey", F.lit(PROJECTS)).cast("string"))
     path = F.concat(F.lit("src/o"), key.cast("string"), F.lit("."), ext)
-    return corpus_from_table(orders, project, path, content)
+    return _files(orders, project, path, content)
 
 
 def _sql_module(n: str) -> str:
@@ -203,7 +223,7 @@ MANIFEST_NAMES = ["Cargo.toml", "package.json", "requirements.txt", "go.mod", "p
 
 def manifest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a manifest that declares two packages, one format per key."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     key, size = F.col("p_partkey"), F.col("p_size").cast("string")
     first = F.translate(_module(key * 3), "_", "-")
     second = _module(key * 5 + 1)
@@ -220,7 +240,7 @@ def manifest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = content.when(kind == i, fill(MANIFEST_TEXT[name]))
     project = F.concat(F.lit("p"), F.pmod(key, F.lit(PROJECTS)).cast("string"))
     path = F.concat(F.lit("svc"), key.cast("string"), F.lit("/"), _pick(MANIFEST_NAMES, key))
-    return corpus_from_table(parts, project, path, content)
+    return _files(parts, project, path, content)
 
 
 # {a} and {b} are package names, {v} a version; {a} is for production, {b} for
@@ -279,7 +299,7 @@ def doc_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text lines are the old file; the hunks hold a context line and a removed line.
     Every fifth diff also deletes a file.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     doc_id = F.col("doc_id")
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     old, path = n.cast("string"), doc_path(doc_id)
@@ -328,7 +348,7 @@ def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     cents = F.floor("o_totalprice").cast("bigint")
-    seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400
+    seconds = F.unix_seconds(utc_instant(F.col("o_orderdate"))) + F.col("o_orderkey") % 86400
     nanos = seconds * 1_000_000_000 + F.col("o_orderkey")
     count = F.pmod(F.floor(cents / 7).cast("bigint"), F.lit(40))
     zero = F.lit(0).cast("bigint")
@@ -380,8 +400,8 @@ def event_listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         return df.groupBy("project", "path").agg(F.max("event_id").alias("mtime_ns"))
 
     return (
-        newest(listed.where(F.col("ts") < F.lit(LISTING_OLD_UNTIL).cast("timestamp"))),
-        newest(listed.where(F.col("ts") >= F.lit(LISTING_NEW_FROM).cast("timestamp"))),
+        newest(listed.where(F.col("ts") < F.lit(LISTING_OLD_UNTIL).cast("timestamp_ntz"))),
+        newest(listed.where(F.col("ts") >= F.lit(LISTING_NEW_FROM).cast("timestamp_ntz"))),
     )
 
 
@@ -397,7 +417,7 @@ BODIES = [
 
 def probe_cases(spark: SparkSession, sf_dir: str, mutated: bool = False) -> DataFrame:
     """Every event as a probe case whose shape follows the event type."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
     kind, eid = F.col("event_type"), F.col("event_id")
     nothing = F.array().cast("array<string>")
 
@@ -475,7 +495,7 @@ def probe_cases(spark: SparkSession, sf_dir: str, mutated: bool = False) -> Data
 
 def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The responses of every derived case: one per repeat, or login and reuse."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id")
     eid, session = F.col("event_id"), F.col("event_type") == "purchase"
     repeat = F.when(session, F.lit(2)).when(eid % 97 == 0, F.lit(120)).otherwise((eid % 12 + 1).cast("int"))
     rows = e.withColumn("seq", F.explode(F.sequence(F.lit(1), repeat)))

@@ -173,8 +173,8 @@ race AS (
               AND (contains(rhs, '-') OR contains(rhs, '+')) THEN plain_name END) AS name
   FROM (SELECT *, {name.format("lhs")} AS plain_name, substr(low, length(lhs) + 2) AS rhs
         FROM (SELECT *, regexp_matches(low, {plain}) AS has_plain, regexp_extract(low, {plain}, 1) AS lhs
-              FROM (SELECT *, lower(text) AS low FROM lines WHERE contains(text, '=')))))
-  WHERE NOT {_any('low', V.SYNC_WORDS)}),
+              FROM (SELECT *, lower(text) AS low FROM lines WHERE contains(text, '=')))
+        WHERE NOT {_any('low', V.SYNC_WORDS)})),
 races AS (
   SELECT project, 'race-condition' AS rule, 'Security' AS category, 'WARNING' AS severity, path, line_no,
          '`' || name || '`' || {sql_text(V.RACE_MESSAGE)} AS message,
@@ -269,7 +269,7 @@ decided AS (
               WHEN l.login_failed THEN 'login request failed: connection refused'
               WHEN l.reuse_failed THEN 'reuse request failed: connection refused'
               WHEN w.case_id IS NULL THEN 'request failed: connection refused' END AS error,
-         {_ISSUE} AS issue_id
+         {_ISSUE.replace("kind", "c.kind").replace("event_id", "c.event_id")} AS issue_id
   FROM cases c LEFT JOIN first_block b USING (case_id) LEFT JOIN last_seen s USING (case_id)
   LEFT JOIN login l USING (case_id)
   LEFT JOIN windows w ON w.case_id = c.case_id AND w.seq = CASE WHEN c.session THEN 2 ELSE s.last_seq END),

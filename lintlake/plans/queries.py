@@ -456,8 +456,10 @@ def endpoint_rollup(spark, d):
 
 
 def _stream(spark, d, name) -> DataFrame:
-    path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A pattern, because a file stream takes a plain path for a folder and the table
+    # may be a single file.
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _stream_files(spark, d) -> DataFrame:
@@ -494,8 +496,13 @@ def stream_rate_limit(spark, d):
     status = F.when(
         F.col("event_type") == "error", F.when(F.col("value") > 20, F.lit(429)).otherwise(F.lit(500))
     ).otherwise(F.lit(200))
-    requests = _stream(spark, d, "events").select("user_id", "ts", status.alias("status"))
+    requests = _stream(spark, d, "events").select(
+        "user_id", D.utc_instant(F.col("ts")).alias("ts"), status.alias("status")
+    )
     windows = WA.rate_limit_windows(requests, "user_id", "ts", "status", window="1 day")
     out = fresh_dir(spark, "rate")
     SI.run_to_table(windows, out, fresh_dir(spark, "rate-checkpoint"), mode="update").awaitTermination()
-    return SI.newest_rows(spark.read.parquet(out), ["user_id", "window_start"])
+    newest = SI.newest_rows(spark.read.parquet(out), ["user_id", "window_start"])
+    return newest.withColumns(
+        {c: D.utc_wall_time(F.col(c)) for c in ("window_start", "first_blocked_at")}
+    )
