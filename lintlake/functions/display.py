@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .text import literal_array
 
 
 def score_band(score: Column) -> Column:
@@ -19,7 +20,7 @@ def score_band(score: Column) -> Column:
 def spark_glyph(score: Column) -> Column:
     """One of eight bar heights for a 0-100 score."""
     level = F.floor(F.least(score, F.lit(100)) * (len(V.SPARK_GLYPHS) - 1) / 100)
-    return F.element_at(F.array(*[F.lit(g) for g in V.SPARK_GLYPHS]), (level + 1).cast("int"))
+    return F.element_at(literal_array(V.SPARK_GLYPHS), (level + 1).cast("int"))
 
 
 def bar_width(n: Column, largest: Column) -> Column:

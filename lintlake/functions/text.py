@@ -21,6 +21,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal_array(values: Iterable[str]) -> Column:
+    """Array of string literals, parsed in one call instead of one per value."""
+    quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in quoted) + ")")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.
 

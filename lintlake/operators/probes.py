@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.codelines import is_traversal
-from ..functions.text import ascii_lower, lower_contains_any
+from ..functions.text import ascii_lower, let, literal_array, lower_contains_any
 from ..functions.urls import absolute_url, resolve_target, url_parts
-from ..schemas import EXPECTATIONS, PROBE_CASES
+from ..schemas import EXPECTATIONS, MUTATIONS, PROBE_CASES
 
 
 def seed_cases(spark: SparkSession, project: str) -> DataFrame:
@@ -45,29 +45,34 @@ def block_repeat(repeat: Column, times: Column) -> Column:
 # --- generators ---------------------------------------------------------------
 
 
+def _choose(c: Column, pairs, otherwise: Column) -> Column:
+    """Value of the first pair whose key equals ``c``, evaluated once."""
+
+    def chain(x: Column) -> Column:
+        out = None
+        for key, value in pairs:
+            out = F.when(x == key, value) if out is None else out.when(x == key, value)
+        return out.otherwise(otherwise)
+
+    return let(c, chain)
+
+
 def canonical_generator(name: Column) -> Column:
-    low = ascii_lower(name)
-    out = low
-    for alias, target in V.GENERATOR_ALIASES.items():
-        out = F.when(low == alias, F.lit(target)).otherwise(out)
-    return out
+    return let(
+        ascii_lower(name),
+        lambda low: _choose(low, [(a, F.lit(t)) for a, t in V.GENERATOR_ALIASES.items()], low),
+    )
 
 
 def generator_category(name: Column) -> Column:
-    canonical = canonical_generator(name)
-    chain = F.when(F.lit(False), F.lit(""))
-    for generator, category, _, _ in V.GENERATORS:
-        chain = chain.when(canonical == generator, F.lit(category))
-    return chain.otherwise(F.lit(V.CUSTOM_GENERATOR_CATEGORY))
+    pairs = [(generator, F.lit(category)) for generator, category, _, _ in V.GENERATORS]
+    return _choose(canonical_generator(name), pairs, F.lit(V.CUSTOM_GENERATOR_CATEGORY))
 
 
 def generator_values(name: Column) -> Column:
     """Values of a generator; an unknown name stands for its own lower-cased self."""
-    canonical = canonical_generator(name)
-    chain = F.when(F.lit(False), F.array().cast("array<string>"))
-    for generator, _, _, values in V.GENERATORS:
-        chain = chain.when(canonical == generator, F.array(*[F.lit(v) for v in values]))
-    return chain.otherwise(F.array(ascii_lower(name)))
+    pairs = [(generator, literal_array(values)) for generator, _, _, values in V.GENERATORS]
+    return _choose(canonical_generator(name), pairs, F.array(ascii_lower(name)))
 
 
 def generator_catalog(spark: SparkSession) -> DataFrame:
@@ -82,7 +87,6 @@ def generator_catalog(spark: SparkSession) -> DataFrame:
 
 def check_expectation(name: Column) -> Column:
     """Expectation a shorthand check stands for; unknown names stay named checks."""
-    low = ascii_lower(name)
 
     def expectation(kind, num, text):
         return F.struct(
@@ -93,11 +97,14 @@ def check_expectation(name: Column) -> Column:
             F.when(kind == "named", F.lit(True)).alias("expected"),
         )
 
-    chain = None
-    for alias, (kind, num, text) in V.CHECK_ALIASES.items():
-        value = expectation(F.lit(kind), F.lit(num), F.lit(text))
-        chain = F.when(low == alias, value) if chain is None else chain.when(low == alias, value)
-    return chain.otherwise(expectation(F.lit("named"), F.lit(None), low))
+    pairs = [
+        (alias, expectation(F.lit(kind), F.lit(num), F.lit(text)))
+        for alias, (kind, num, text) in V.CHECK_ALIASES.items()
+    ]
+    return let(
+        ascii_lower(name),
+        lambda low: _choose(low, pairs, expectation(F.lit("named"), F.lit(None), low)),
+    )
 
 
 def expand_cases(cases: DataFrame) -> DataFrame:
@@ -114,28 +121,28 @@ def expand_cases(cases: DataFrame) -> DataFrame:
             F.coalesce(F.transform("checks", check_expectation), none),
         ),
     ).drop("checks")
+    def variants_of(m, mi, g, gi):
+        return let(
+            generator_values(g),
+            lambda values: F.transform(
+                values,
+                lambda v, vi: F.struct(
+                    m["field"].alias("field"),
+                    v.alias("value"),
+                    F.when(F.size(values) > 1, F.concat(g, F.lit("#"), (vi + 1).cast("string")))
+                    .otherwise(g)
+                    .alias("label"),
+                    F.concat_ws(
+                        ".", (mi + 1).cast("string"), (gi + 1).cast("string"), (vi + 1).cast("string")
+                    ).alias("at"),
+                ),
+            ),
+        )
+
     per_field = F.transform(
-        F.coalesce("mutations", F.array().cast("array<struct<field:string,generators:array<string>>>")),
+        F.coalesce("mutations", F.array().cast(MUTATIONS)),
         lambda m, mi: F.flatten(
-            F.transform(
-                m["generators"],
-                lambda g, gi: F.transform(
-                    generator_values(g),
-                    lambda v, vi: F.struct(
-                        m["field"].alias("field"),
-                        v.alias("value"),
-                        F.when(
-                            F.size(generator_values(g)) > 1,
-                            F.concat(g, F.lit("#"), (vi + 1).cast("string")),
-                        )
-                        .otherwise(g)
-                        .alias("label"),
-                        F.concat_ws(
-                            ".", (mi + 1).cast("string"), (gi + 1).cast("string"), (vi + 1).cast("string")
-                        ).alias("at"),
-                    ),
-                ),
-            )
+            F.transform(m["generators"], lambda g, gi: variants_of(m, mi, g, gi))
         ),
     )
     one = folded.withColumn("variant", F.explode_outer(F.flatten(per_field))).drop("mutations")

@@ -9,9 +9,10 @@ from ..functions import fixed_values as V
 from ..functions.codelines import unguarded_update
 from ..schemas import FINDING_COLUMNS
 from ..sources.corpus import language_of
-from .rules import ScanConfig, scan_findings
 from .scoring import is_blocking
 
+LINE_KEY = ["project", "path", "line_no"]
+
 
 def race_findings(added: DataFrame) -> DataFrame:
     """Unguarded updates of shared state on added lines. No shuffle."""
@@ -37,21 +38,24 @@ def race_findings(added: DataFrame) -> DataFrame:
     )
 
 
-def review_findings(
-    files: DataFrame, added: DataFrame, config: ScanConfig = ScanConfig()
-) -> DataFrame:
+def touched_files(files: DataFrame, added: DataFrame) -> DataFrame:
+    """Files that a diff added lines to, for scanning only those.
+
+    Worth it where diffs touch a small part of the corpus; otherwise the join moves
+    file contents and it is cheaper to scan everything.
+    """
+    return files.join(added.select("project", "path").distinct(), ["project", "path"], "left_semi")
+
+
+def review_findings(findings: DataFrame, files: DataFrame, added: DataFrame) -> DataFrame:
     """Scan findings that land on added lines, plus race findings on those lines.
 
-    Only files that a diff touched are scanned; whole-file findings (line 0) are not
-    on a line and drop out. Added lines of files that are gone are ignored.
+    Only findings are joined, never file contents. Whole-file findings (line 0) are
+    not on a line and drop out; added lines of files that are gone are ignored.
     """
-    touched = added.select("project", "path").distinct()
-    changed = files.join(touched, ["project", "path"], "left_semi")
-    keys = ["project", "path", "line_no"]
     on_added = (
-        scan_findings(changed, config)
-        .where("line_no > 0")
-        .join(added.select(*keys), keys, "left_semi")
+        findings.where("line_no > 0")
+        .join(added.select(*LINE_KEY), LINE_KEY, "left_semi")
         .select(*FINDING_COLUMNS)
     )
     present = added.join(files.select("project", "path"), ["project", "path"], "left_semi")
@@ -78,31 +82,40 @@ def review_summary(projects: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def gate(projects: DataFrame, scan: DataFrame, user_rules: DataFrame, review: DataFrame) -> DataFrame:
+def gate(
+    projects: DataFrame, findings: DataFrame, user_findings: DataFrame, added: DataFrame
+) -> DataFrame:
     """Pass or fail per project: no blocking scan finding, no user-rule finding at all,
-    no blocking review finding. The three tables are stacked and reduced once.
+    no blocking review finding.
+
+    The review part marks scan findings on added lines, so the corpus is scanned once
+    for both; race findings are warnings and never block. Everything is stacked and
+    reduced in one aggregate.
     """
+    on_line = added.select(*LINE_KEY).distinct().withColumn("on_added", F.lit(True))
+    blocking = is_blocking(F.col("severity"))
+    marked = findings.where(blocking).join(on_line, LINE_KEY, "left")
 
-    def part(df, source, severity):
-        return df.select("project", F.lit(source).alias("source"), severity.alias("severity"))
+    def part(df, scan, rules, review):
+        return df.select("project", scan.alias("scan"), rules.alias("rules"), review.alias("review"))
 
-    nothing = F.lit(None).cast("string")
+    yes, no = F.lit(1), F.lit(0)
     stacked = (
-        part(projects, "project", nothing)
-        .unionByName(part(scan, "scan", F.col("severity")))
-        .unionByName(part(user_rules, "rules", F.col("severity")))
-        .unionByName(part(review, "review", F.col("severity")))
+        part(projects, no, no, no)
+        .unionByName(part(marked, yes, no, F.coalesce("on_added", F.lit(False)).cast("int")))
+        .unionByName(part(user_findings, no, yes, no))
     )
-    source, severity = F.col("source"), F.col("severity")
     return (
         stacked.groupBy("project")
         .agg(
-            F.count_if((source == "scan") & is_blocking(severity)).alias("scan_blocking"),
-            F.count_if(source == "rules").alias("rule_findings"),
-            F.count_if((source == "review") & is_blocking(severity)).alias("review_blocking"),
+            F.sum("scan").alias("scan_blocking"),
+            F.sum("rules").alias("rule_findings"),
+            F.sum("review").alias("review_blocking"),
         )
         .withColumn(
             "passed",
-            (F.col("scan_blocking") == 0) & (F.col("rule_findings") == 0) & (F.col("review_blocking") == 0),
+            (F.col("scan_blocking") == 0)
+            & (F.col("rule_findings") == 0)
+            & (F.col("review_blocking") == 0),
         )
     )

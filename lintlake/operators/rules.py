@@ -19,7 +19,7 @@ from ..functions.codelines import (
     sink_label,
 )
 from ..functions.secrets import may_hold_secret, secret_kind
-from ..functions.text import let, split_lines
+from ..functions.text import let, literal_array, split_lines
 from ..schemas import FINDING_COLUMNS, FINDINGS
 from .duplicates import duplicate_blocks
 
@@ -60,7 +60,7 @@ def rule_ids() -> list[str]:
 
 
 def rule_rank(rule: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(r) for r in rule_ids()]), rule)
+    return F.array_position(literal_array(rule_ids()), rule)
 
 
 def _hit(rule: str, severity: Column, message: Column, title: Column | None = None) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import literal_array
 from ..sources.corpus import corpus_from_table
 from .sizing import computed_once, spread
 
@@ -36,13 +37,9 @@ def _files(df: DataFrame, project: Column, path: Column, content: Column) -> Dat
     return corpus_from_table(made, F.col("project"), F.col("path"), F.col("content"))
 
 
-def _lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _pick(values: list[str], index: Column) -> Column:
     """values[index mod n]."""
-    return F.element_at(_lit_array(values), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(literal_array(values), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
 def sql_text(value: str) -> str:
@@ -438,7 +435,7 @@ def probe_cases(spark: SparkSession, sf_dir: str, mutated: bool = False) -> Data
     mutation = "array<struct<field:string,generators:array<string>>>"
 
     def mutate(field, generators):
-        return F.array(F.struct(F.lit(field).alias("field"), _lit_array(generators).alias("generators")))
+        return F.array(F.struct(F.lit(field).alias("field"), literal_array(generators).alias("generators")))
 
     mutations = by_kind(
         {

@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import fixed_values as V
 from . import derived as D
 from .derived import sql_text
-from .queries import SCAN, USER_RULES
+from .queries import LONG_LINE, SCAN, USER_RULES
 
 
 def _any(col: str, words) -> str:
@@ -454,6 +454,8 @@ SELECT project, language, count(*) AS lines, count(*) FILTER ({COMMENT}) AS comm
     "large_files": _with(CODE, LARGE, body=_single + "large"),
     "duplicate_code": _with(CODE, _duplicates(6), body=_single + "dups"),
     "duplicate_pairs": _with(CODE, _duplicates(2), body="SELECT project, path, line_no, first_line FROM dup_blocks"),
+    "registered_rule": _with(CODE, body=f"""
+SELECT project, path, line_no, length(text) || ' characters' AS message FROM lines WHERE length(text) > {LONG_LINE}"""),
     "race_conditions": _with(CODE, _race(), body="SELECT project, path, line_no, message, suggestion FROM races"),
     "project_score": _with(*SCAN_CTES, SCORES, body=f"SELECT *, {_band} AS band FROM scores"),
     "severity_pivot": _with(*SCAN_CTES, body=f"SELECT project, {_counts}, count(*) AS total_findings FROM findings GROUP BY 1"),
@@ -524,6 +526,9 @@ FROM snapshots GROUP BY project HAVING count(*) >= 2"""),
 SELECT project, arg_min(timestamp, id) AS created, arg_max(timestamp, id) AS last_updated,
        arg_max(security_score, id) AS latest_score, max(security_score) AS best_score, count(*) AS snapshot_count
 FROM snapshots GROUP BY project"""),
+    "saved_history": _with(D.SQL_SNAPSHOTS, body="SELECT * FROM snapshots"),
+    "latest_run": _with(*PROBES, body="""
+SELECT project, '00000000000000000002' AS run_id, case_id, verdict, issue_id FROM outcomes"""),
     "diff_lines": _with(CODE, D.SQL_ADDED, body="SELECT project, path, line_no, text FROM added"),
     "review_findings": _with(*SCAN_CTES, _race(), D.SQL_ADDED, REVIEW, body="SELECT * FROM review"),
     "review_summary": _with(*SCAN_CTES, _race(), D.SQL_ADDED, REVIEW, body="""
@@ -587,6 +592,10 @@ FROM responses GROUP BY 1"""),
 SELECT conv_id, turn, CASE WHEN length(m) > 48 THEN left(m, 48) || '… (' || length(text) || ' chars)'
        WHEN m = '' THEN '(empty)' ELSE m END AS shown
 FROM (SELECT *, regexp_replace(text, '\p{Cc}', '·', 'g') AS m FROM conversations)""",
+    "page_slugs": """
+SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS slug,
+       md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5
+FROM pages""",
     "endpoint_rollup": r"""
 SELECT host, port, secure, count(*) AS pages, min(scheme || '://' || host || ':' || port || rest) AS first_url FROM (
   SELECT *, scheme = 'https' AS secure, split_part(auth, ':', 1) AS host,

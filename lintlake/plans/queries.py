@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.display import safe_value, score_band
-from ..functions.text import is_comment
+from ..functions.text import escape_html, is_comment, slug
 from ..functions.urls import absolute_url, url_parts
 from ..operators import changes as CH
 from ..operators import compliance as CO
@@ -26,6 +26,7 @@ from ..operators import user_rules as UR
 from ..session import fresh_dir
 from ..sources import corpus as CP
 from ..sources import diffs as DI
+from ..sources import state as ST
 from ..sources.manifests import declared_dependencies
 from ..streaming import sinks as SI
 from ..streaming import watch as WA
@@ -122,6 +123,32 @@ def duplicate_pairs(spark, d):
     )
 
 
+LONG_LINE = 400
+
+
+def _long_lines(path: str, language: str, content: str):
+    """A custom rule in plain Python: lines that are too long to review."""
+    for number, text in enumerate(content.replace("\r\n", "\n").split("\n"), 1):
+        if len(text) > LONG_LINE:
+            yield {
+                "rule": "long-line",
+                "title": "Long line",
+                "category": "Quality",
+                "severity": "INFO",
+                "line_no": number,
+                "message": f"{len(text)} characters",
+            }
+
+
+@query
+def registered_rule(spark, d):
+    """A user rule from the registry, run over every file next to no built-in rule."""
+    if "long-line" not in RU.rule_ids():
+        RU.register_rule("long-line", RU.python_rule(_long_lines))
+    found = RU.scan_findings(D.code_corpus(spark, d), _only(extra_rules=("long-line",)))
+    return found.select("project", "path", "line_no", "message")
+
+
 @query
 def race_conditions(spark, d):
     """The shared-state heuristic over every line of the corpus."""
@@ -294,6 +321,26 @@ def project_index(spark, d):
     return HI.project_index(D.order_snapshots(spark, d))
 
 
+@query
+def saved_history(spark, d):
+    """Snapshots appended to a JSON store and read back, oldest first."""
+    path = fresh_dir(spark, "history")
+    ST.append_snapshots(D.order_snapshots(spark, d), path)
+    return ST.load_history(spark, path).select(
+        "project", "id", "timestamp", "security_score", "total_findings"
+    )
+
+
+@query
+def latest_run(spark, d):
+    """The newer of two saved test runs."""
+    path = fresh_dir(spark, "runs")
+    outcomes = _outcomes(spark, d)
+    for run_id in ("00000000000000000001", "00000000000000000002"):
+        ST.save_run(outcomes, run_id, path)
+    return ST.latest_run(spark, path).select("project", "run_id", "case_id", "verdict", "issue_id")
+
+
 # --- review -------------------------------------------------------------------------------
 
 
@@ -307,7 +354,8 @@ def diff_lines(spark, d):
 
 
 def _review(spark, d) -> DataFrame:
-    return RV.review_findings(D.code_corpus(spark, d), _added(spark, d), SCAN)
+    files = D.code_corpus(spark, d)
+    return RV.review_findings(RU.scan_findings(files, SCAN), files, _added(spark, d))
 
 
 @query
@@ -324,7 +372,7 @@ def review_summary(spark, d):
 def gate(spark, d):
     files = D.code_corpus(spark, d)
     return RV.gate(
-        files, RU.scan_findings(files, SCAN), user_rules(spark, d), _review(spark, d)
+        files, RU.scan_findings(files, SCAN), user_rules(spark, d), _added(spark, d)
     )
 
 
@@ -439,6 +487,15 @@ def input_preview(spark, d):
     return turns.select("conv_id", "turn", safe_value(F.col("text")).alias("shown"))
 
 
+@query
+def page_slugs(spark, d):
+    """Id slug of every URL and a digest of its escaped HTML."""
+    pages = D.table(spark, d, "pages")
+    return pages.select(
+        "page_id", slug(F.col("url")).alias("slug"), F.md5(escape_html(F.col("html"))).alias("escaped_md5")
+    )
+
+
 @query
 def endpoint_rollup(spark, d):
     parts = url_parts(F.col("url"))

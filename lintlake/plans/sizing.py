@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a table has no more than ``rows`` rows; reads no more than one beyond."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, max_bytes: int = 32 * 1024 * 1024) -> bool:
+    """Whether a table is within both bounds; reads no more than one row beyond."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    return seen["n"] <= rows and (seen["b"] or 0) <= max_bytes
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import ascii_lower, basename, count_lines, split_lines
+from ..functions.text import ascii_lower, basename, count_lines, literal_array, split_lines
 
 
 def language_of(path: Column) -> Column:
@@ -24,7 +24,7 @@ def language_of(path: Column) -> Column:
 
 def language_rank(language: Column) -> Column:
     names = [name for name, _ in V.LANGUAGES]
-    return F.array_position(F.array(*[F.lit(n) for n in names]), language)
+    return F.array_position(literal_array(names), language)
 
 
 def is_skipped_path(path: Column, ignore: Sequence[str] = ()) -> Column:
@@ -35,7 +35,7 @@ def is_skipped_path(path: Column, ignore: Sequence[str] = ()) -> Column:
     """
     parts = F.split(path, "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    cond = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in V.SKIPPED_DIRS]))
+    cond = F.arrays_overlap(dirs, literal_array(V.SKIPPED_DIRS))
     cond = cond | F.startswith(path, F.lit(".")) | F.contains(path, F.lit("/."))
     for pattern in ignore:
         pattern = pattern.strip("/")
