@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import is_significant, let, split_lines, trim_ws
 
 
+REPEATS = "array<struct<line_no: int, first_line: int>>"
+CHUNK = 512
+
+
 def _kept_lines(content: Column) -> Column:
     """Significant lines as a struct of three parallel arrays: line_no and two hashes."""
     numbered = F.transform(
@@ -44,47 +48,90 @@ def _windows(kept: Column, size: int) -> Column:
     )
 
 
-def block_windows(files: DataFrame, size: int) -> DataFrame:
-    """Start line and signature of every window, for files that repeat one.
+def _grow(chunks: Column, tail: Column, item: Column) -> tuple[Column, Column]:
+    """Append to a list held as full chunks plus a short tail.
 
-    Hashing and the repeat test stay inside the file's row, so a file without a
-    repeated block never reaches the shuffle, and no line text ever does.
+    Appending to one long array would copy it every time.
     """
-    windows = let(_kept_lines(F.col("content")), lambda kept: _windows(kept, size))
-    repeated = let(
-        windows,
-        lambda w: F.when(F.size(F.array_distinct(F.transform(w, lambda x: x["sig_a"]))) < F.size(w), w),
+    full = F.size(tail) >= CHUNK
+    return (
+        F.when(full, F.concat(chunks, F.array(tail))).otherwise(chunks),
+        F.when(full, F.array(item)).otherwise(F.concat(tail, F.array(item))),
     )
-    return files.select("project", "path", F.inline(repeated))
 
 
-def duplicate_blocks(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
-    """Reported repeats: project, path, line_no of the repeat, first_line of the block.
+def _whole(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["chunks"], F.array(acc["tail"])))
 
-    A repeat is reported unless it starts within ``block_size`` lines of one already
-    reported; that choice depends on the order, so it is a fold over the file's
-    candidates. A file is at most 5 MiB, which bounds the fold.
+
+def _repeats(windows: Column) -> Column:
+    """Windows seen before, each with the first line of its block.
+
+    Sorted by signature and line, so equal windows are neighbours and the first of a
+    run is the original.
     """
-    size = max(block_size, 2)
-    by_file = ["project", "path"]
-    spread = block_windows(files, size).repartition(*[F.col(c) for c in by_file])
-    first = F.min("line_no").over(Window.partitionBy(*by_file, "sig_a", "sig_b"))
-    candidates = (
-        spread.withColumn("first_line", first)
-        .where(F.col("line_no") > F.col("first_line"))
-        .groupBy(*by_file)
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", "first_line"))).alias("found"))
+    ordered = F.sort_array(
+        F.transform(windows, lambda w: F.struct(w["sig_a"], w["sig_b"], w["line_no"].alias("line_no")))
+    )
+
+    def step(acc, w):
+        same = (acc["sig_a"] == w["sig_a"]) & (acc["sig_b"] == w["sig_b"])
+        item = F.struct(w["line_no"].alias("line_no"), acc["first_line"].alias("first_line"))
+        chunks, tail = _grow(acc["chunks"], acc["tail"], item)
+        return F.struct(
+            w["sig_a"].alias("sig_a"),
+            w["sig_b"].alias("sig_b"),
+            F.when(same, acc["first_line"]).otherwise(w["line_no"]).alias("first_line"),
+            F.when(same, chunks).otherwise(acc["chunks"]).alias("chunks"),
+            F.when(same, tail).otherwise(acc["tail"]).alias("tail"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast("bigint").alias("sig_a"),
+        F.lit(None).cast("bigint").alias("sig_b"),
+        F.lit(None).cast("int").alias("first_line"),
+        F.array().cast(f"array<{REPEATS}>").alias("chunks"),
+        F.array().cast(REPEATS).alias("tail"),
     )
-    return candidates.select(*by_file, F.inline(greedy_spacing(F.col("found"), size)))
+    return F.sort_array(F.aggregate(ordered, start, step, _whole))
 
 
 def greedy_spacing(found: Column, size: int) -> Column:
     """Keep each entry whose line_no is at least ``size`` past the last kept one."""
-    return F.aggregate(
-        found,
-        F.slice(found, 1, 0),
-        lambda kept, x: F.when(
-            (F.size(kept) == 0) | (x["line_no"] - F.element_at(kept, -1)["line_no"] >= size),
-            F.concat(kept, F.array(x)),
-        ).otherwise(kept),
+
+    def step(acc, x):
+        keep = acc["last"].isNull() | (x["line_no"] - acc["last"] >= size)
+        chunks, tail = _grow(acc["chunks"], acc["tail"], x)
+        return F.struct(
+            F.when(keep, x["line_no"]).otherwise(acc["last"]).alias("last"),
+            F.when(keep, chunks).otherwise(acc["chunks"]).alias("chunks"),
+            F.when(keep, tail).otherwise(acc["tail"]).alias("tail"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast("int").alias("last"),
+        F.array().cast(f"array<{REPEATS}>").alias("chunks"),
+        F.array().cast(REPEATS).alias("tail"),
     )
+    return F.aggregate(found, start, step, _whole)
+
+
+def repeated_blocks(content: Column, block_size: int = V.DUPLICATE_BLOCK) -> Column:
+    """Reported repeats of one file, in line order; NULL when it repeats nothing.
+
+    A repeat is reported unless it starts within ``block_size`` lines of one already
+    reported; that choice depends on the order, so it is a fold. Everything stays in
+    the file's row: a file is at most 5 MiB, and nothing is shuffled.
+    """
+    size = max(block_size, 2)
+
+    def judged(windows: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(windows, lambda w: w["sig_a"])))
+        return F.when(distinct < F.size(windows), greedy_spacing(_repeats(windows), size))
+
+    return let(let(_kept_lines(content), lambda kept: _windows(kept, size)), judged)
+
+
+def duplicate_blocks(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
+    """Repeats of every file: project, path, line_no of the repeat, first_line of the block."""
+    return files.select("project", "path", F.inline(repeated_blocks(F.col("content"), block_size)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from ..functions.codelines import (
 from ..functions.secrets import may_hold_secret, secret_kind
 from ..functions.text import let, literal_array, split_lines
 from ..schemas import FINDING_COLUMNS, FINDINGS
-from .duplicates import duplicate_blocks
+from .duplicates import REPEATS, repeated_blocks
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,13 @@ class ScanConfig:
     extra_rules: tuple[str, ...] = ()
 
 
+# What one rule reports inside a file's row.
+_HIT = (
+    "struct<rule: string, title: string, category: string, severity: string, line_no: int, "
+    "message: string, suggestion: string, lines: int>"
+)
+_HITS = f"array<{_HIT}>"
+
 # User rules: name -> function from the ``files`` table to a findings table.
 _REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -63,119 +70,160 @@ def rule_rank(rule: Column) -> Column:
     return F.array_position(literal_array(rule_ids()), rule)
 
 
-def _hit(rule: str, severity: Column, message: Column, title: Column | None = None) -> Column:
+def _hit(
+    rule: str, severity: Column, message: Column, line_no: Column, title: Column | None = None
+) -> Column:
     fixed_title, category, suggestion = V.RULES[rule]
     return F.struct(
         F.lit(rule).alias("rule"),
         (title if title is not None else F.lit(fixed_title)).alias("title"),
         F.lit(category).alias("category"),
         severity.alias("severity"),
+        line_no.alias("line_no"),
         message.alias("message"),
         F.lit(suggestion).cast("string").alias("suggestion"),
+        F.lit(None).cast("int").alias("lines"),
     )
 
 
-def line_findings(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Findings of every enabled line and file rule in one pass, without a shuffle.
+def _secret_hit(text, language, line_no):
+    return let(
+        secret_kind(text, language),
+        lambda kind: F.when(
+            kind.isNotNull(),
+            _hit("hardcoded-secret", F.lit("CRITICAL"), F.concat(kind, F.lit(V.SECRET_MESSAGE)), line_no),
+        ),
+    )
+
+
+def _command_hit(text, language, line_no):
+    return let(
+        sink_label(text, language),
+        lambda sink: F.when(
+            sink.isNotNull(),
+            _hit("dangerous-command", F.lit("HIGH"), F.concat(sink, F.lit(V.COMMAND_MESSAGE)), line_no),
+        ),
+    )
+
+
+def _marker_hit(text, line_no):
+    def message(marker):
+        return let(
+            marker_note(text, marker),
+            lambda note: F.when(note == "", F.concat(marker, F.lit(" marker"))).otherwise(
+                F.concat(marker, F.lit(": "), note)
+            ),
+        )
+
+    return let(
+        marker_on(text),
+        lambda marker: F.when(
+            marker.isNotNull(),
+            _hit(
+                "todo-tracker", marker_severity(marker), message(marker), line_no,
+                F.concat(marker, F.lit(" comment")),
+            ),
+        ),
+    )
+
+
+def _large_file_hit(large, lines, limit):
+    message = F.concat(
+        lines.cast("string"), F.lit(f" lines (threshold {limit}{V.LARGE_FILE_MESSAGE}")
+    )
+    return F.when(large, _hit("large-file", F.lit("WARNING"), message, F.lit(0)))
+
+
+def _duplicate_hits(repeats, size):
+    def hit(r):
+        message = F.concat(
+            F.lit(f"{size}-line block duplicates one starting at line "),
+            r["first_line"].cast("string"),
+            F.lit(V.DUPLICATE_MESSAGE),
+        )
+        return _hit("duplicate-code", F.lit("INFO"), message, r["line_no"])
+
+    return F.transform(repeats, hit)
 
-    Each file becomes one row per line plus a row 0 that stands for the whole file.
-    Substring tests drop most lines first; the regular expressions run on the rest.
-    Disabled rules never enter the plan.
+
+def _one_pass(files: DataFrame, config: ScanConfig, file_rows: bool) -> DataFrame:
+    """All built-in rules in one pass over the corpus, without a shuffle.
+
+    Each file becomes one row per line plus a row 0 that stands for the whole file and
+    carries its repeated blocks. Substring tests drop most lines first; the regular
+    expressions run on the rest. Disabled rules never enter the plan. With
+    ``file_rows`` every file also yields a row without a rule that holds its line count.
     """
     text, language, line_no = F.col("text"), F.col("language"), F.col("line_no")
-    guards, hits = [], []
+    guards, hits, lists = [], [], []
     if config.secret_detection:
         guards.append(may_hold_secret(text))
-        hits.append(
-            let(
-                secret_kind(text, language),
-                lambda kind: F.when(
-                    kind.isNotNull(),
-                    _hit("hardcoded-secret", F.lit("CRITICAL"), F.concat(kind, F.lit(V.SECRET_MESSAGE))),
-                ),
-            )
-        )
+        hits.append(_secret_hit(text, language, line_no))
     if config.dangerous_commands:
         guards.append(may_hold_sink(text, language))
-        hits.append(
-            let(
-                sink_label(text, language),
-                lambda sink: F.when(
-                    sink.isNotNull(),
-                    _hit("dangerous-command", F.lit("HIGH"), F.concat(sink, F.lit(V.COMMAND_MESSAGE))),
-                ),
-            )
-        )
+        hits.append(_command_hit(text, language, line_no))
     if config.large_files:
         limit = max(config.large_file_threshold, 1)
         large = (line_no == 0) & (F.col("lines") > limit)
-        message = F.concat(
-            F.col("lines").cast("string"), F.lit(f" lines (threshold {limit}{V.LARGE_FILE_MESSAGE}")
-        )
         guards.append(large)
-        hits.append(F.when(large, _hit("large-file", F.lit("WARNING"), message)))
+        hits.append(_large_file_hit(large, F.col("lines"), limit))
     if config.todo_tracker:
         guards.append(may_hold_marker(text))
-        hits.append(
-            let(
-                marker_on(text),
-                lambda marker: F.when(
-                    marker.isNotNull(),
-                    _hit(
-                        "todo-tracker",
-                        marker_severity(marker),
-                        let(
-                            marker_note(text, marker),
-                            lambda note: F.when(note == "", F.concat(marker, F.lit(" marker"))).otherwise(
-                                F.concat(marker, F.lit(": "), note)
-                            ),
-                        ),
-                        F.concat(marker, F.lit(" comment")),
-                    ),
-                ),
-            )
+        hits.append(_marker_hit(text, line_no))
+    content = F.col("content")
+    if config.duplicate_code:
+        size = max(config.block_size, 2)
+        whole = F.struct(F.lit("").alias("text"), repeated_blocks(content, size).alias("repeats"))
+        nothing = F.lit(None).cast(REPEATS).alias("repeats")
+        parts = F.concat(
+            F.array(whole), F.transform(split_lines(content), lambda t: F.struct(t.alias("text"), nothing))
         )
-    if not hits:
-        return files.sparkSession.createDataFrame([], FINDINGS)
-    rows = files.select(
-        "project",
-        "path",
-        "language",
-        "lines",
-        F.posexplode(F.concat(F.array(F.lit("")), split_lines(F.col("content")))).alias("line_no", "text"),
-    )
-    return (
-        rows.where(reduce(lambda a, b: a | b, guards))
-        .select("project", "path", "line_no", F.inline(F.array_compact(F.array(*hits))))
-        .select(*FINDING_COLUMNS)
-    )
+        guards.append(F.col("repeats").isNotNull())
+        lists.append(F.coalesce(_duplicate_hits(F.col("repeats"), size), F.array().cast(_HITS)))
+    else:
+        parts = F.concat(F.array(F.lit("")), split_lines(content))
+    if file_rows:
+        guards.append(line_no == 0)
+        file_row = F.from_json(F.lit("{}"), _HIT).withField("lines", F.col("lines"))
+        hits.append(F.when(line_no == 0, file_row))
+    if not guards:
+        return files.sparkSession.createDataFrame([], f"{FINDINGS}, lines INT")
+
+    rows = files.select("project", "path", "language", "lines", F.posexplode(parts).alias("line_no", "part"))
+    if config.duplicate_code:
+        rows = rows.select("project", "path", "language", "lines", "line_no", "part.*")
+    else:
+        rows = rows.withColumnRenamed("part", "text")
+    found = F.concat(F.array_compact(F.array(*hits)) if hits else F.array().cast(_HITS), *lists)
+    return rows.where(reduce(lambda a, b: a | b, guards)).select("project", "path", F.inline(found))
 
 
-def duplicate_findings(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
-    size = max(block_size, 2)
-    message = F.concat(
-        F.lit(f"{size}-line block duplicates one starting at line "),
-        F.col("first_line").cast("string"),
-        F.lit(V.DUPLICATE_MESSAGE),
-    )
-    return (
-        duplicate_blocks(files, size)
-        .withColumn("hit", _hit("duplicate-code", F.lit("INFO"), message))
-        .select("project", "path", "line_no", "hit.*")
-        .select(*FINDING_COLUMNS)
-    )
+def line_findings(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Findings of the enabled rules except duplicate blocks; also works on a stream."""
+    return _one_pass(files, replace(config, duplicate_code=False), False).select(*FINDING_COLUMNS)
+
+
+def scan_rows(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Findings of all enabled rules, and one row per file with its line count.
+
+    The file rows have no rule; scores and statistics come out of this one pass.
+    """
+    rows = _one_pass(files, config, True)
+    columns = [*FINDING_COLUMNS, "lines"]
+    return _with_extra_rules(rows.select(*columns), files, config)
+
+
+def _with_extra_rules(rows: DataFrame, files: DataFrame, config: ScanConfig) -> DataFrame:
+    for name in config.extra_rules:
+        extra = _REGISTRY[name](files).select(*FINDING_COLUMNS)
+        rows = rows.unionByName(extra, allowMissingColumns=True)
+    return rows
 
 
 def scan_findings(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """All findings of the enabled built-in and registered rules."""
-    parts = [line_findings(files, config)]
-    if config.duplicate_code:
-        parts.append(duplicate_findings(files, config.block_size))
-    parts.extend(_REGISTRY[name](files).select(*FINDING_COLUMNS) for name in config.extra_rules)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found = _one_pass(files, config, False).select(*FINDING_COLUMNS)
+    return _with_extra_rules(found, files, config)
 
 
 def python_rule(check: Callable[[str, str, str], Iterable[dict]]) -> Callable[[DataFrame], DataFrame]:

@@ -40,30 +40,19 @@ def severity_counts(findings: DataFrame, by: list[str] = ["project"]) -> DataFra
     return findings.groupBy(*by).agg(*counts, F.count("*").alias("total_findings"))
 
 
-def project_scores(files: DataFrame, findings: DataFrame) -> DataFrame:
+def project_scores(rows: DataFrame) -> DataFrame:
     """Counts, 0-100 score, blocking flag and corpus size for every project.
 
-    Files and findings are stacked and aggregated once, so projects without findings
-    keep their row (score 100) without a join, and a project that holds most rows is
-    reduced before the shuffle.
+    Takes ``scan_rows``, so a project without findings keeps its row (score 100) and the
+    corpus is read once. A project that holds most rows is reduced before the shuffle.
     """
-    stacked = files.select(
-        "project",
-        F.lit(1).alias("file"),
-        F.col("lines").alias("lines"),
-        F.lit(None).cast("string").alias("severity"),
-    ).unionByName(
-        findings.select(
-            "project", F.lit(0).alias("file"), F.lit(0).alias("lines"), F.col("severity")
-        )
-    )
     severity = F.col("severity")
     counts = [F.count_if(severity == s).alias(s.lower()) for s, _, _ in V.SEVERITIES]
     return (
-        stacked.groupBy("project")
+        rows.groupBy("project")
         .agg(
-            F.sum("file").alias("files"),
-            F.sum("lines").cast("bigint").alias("lines_of_code"),
+            F.count("lines").alias("files"),
+            F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines_of_code"),
             *counts,
             F.count("severity").alias("total_findings"),
             F.coalesce(F.sum(severity_weight(severity)), F.lit(0)).alias("deduction"),
@@ -74,6 +63,12 @@ def project_scores(files: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def with_files(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """``scan_rows`` from saved findings and the files they came from."""
+    file_rows = files.select("project", "path", "lines")
+    return findings.unionByName(file_rows, allowMissingColumns=True)
+
+
 def category_counts(findings: DataFrame) -> DataFrame:
     """Findings per project and category."""
     return findings.groupBy("project", "category").agg(F.count("*").alias("n"))

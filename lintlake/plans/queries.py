@@ -159,8 +159,7 @@ def race_conditions(spark, d):
 @query
 def project_score(spark, d):
     """Flagship: full scan of every project, rolled up to counts, score and band."""
-    files = D.code_corpus(spark, d)
-    scores = SC.project_scores(files, RU.scan_findings(files, SCAN))
+    scores = SC.project_scores(RU.scan_rows(D.code_corpus(spark, d), SCAN))
     return scores.withColumn("band", score_band(F.col("security_score")))
 
 
@@ -181,8 +180,7 @@ def category_counts(spark, d):
 
 @query
 def blocking_projects(spark, d):
-    files = D.code_corpus(spark, d)
-    scores = SC.project_scores(files, RU.scan_findings(files, SCAN))
+    scores = SC.project_scores(RU.scan_rows(D.code_corpus(spark, d), SCAN))
     return scores.where("blocking").select("project", "critical", "high")
 
 
@@ -459,8 +457,7 @@ def run_totals(spark, d):
 
 @query
 def executive_summary(spark, d):
-    files = D.code_corpus(spark, d)
-    scores = SC.project_scores(files, RU.scan_findings(files, SCAN))
+    scores = SC.project_scores(RU.scan_rows(D.code_corpus(spark, d), SCAN))
     summary = RP.executive_summary(_outcomes(spark, d), scores)
     return summary.withColumn("issue_ids", F.array_join("issue_ids", ",")).withColumn(
         "remediations", F.array_join("remediations", " | ")

@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..operators.changes import listing_changes
 from ..operators.history import make_snapshots
 from ..operators.rules import ScanConfig, scan_findings
-from ..operators.scoring import project_scores
+from ..operators.scoring import project_scores, with_files
 from ..schemas import FINDINGS
 from ..sources.corpus import corpus_from_binary
 from .sinks import run_each_batch, write_batch
@@ -56,7 +56,7 @@ def scan_stream(
             batch.unpersist()
         if clock_ns is not None:
             spark = batch.sparkSession
-            scores = project_scores(current_files(spark, out), current_findings(spark, out))
+            scores = project_scores(with_files(current_files(spark, out), current_findings(spark, out)))
             write_batch(
                 make_snapshots(scores, F.lit(clock_ns()).cast("decimal(20,0)")), f"{out}/snapshots", batch_id
             )

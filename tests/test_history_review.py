@@ -162,7 +162,7 @@ def test_glyphs_and_bands(spark):
 def test_saved_state(spark, tmp_path, make_files):
     path = str(tmp_path / "history")
     files = make_files(("a.py", "eval(x)\n"))
-    scores = SC.project_scores(files, RU.scan_findings(files))
+    scores = SC.project_scores(RU.scan_rows(files))
     for nanos in (1_700_000_000_000_000_002, 1_700_000_000_000_000_001):
         ST.append_snapshots(HI.make_snapshots(scores, F.lit(nanos)), path)
     with open(tmp_path / "history" / "broken.json", "w") as f:

@@ -32,16 +32,18 @@ def test_imports_do_not_shuffle(spark):
     assert "Exchange" not in plan(DE.import_edges(docs(spark)))
 
 
-def test_duplicates_shuffle_once_and_without_text(spark):
-    text = plan(DU.duplicate_blocks(docs(spark)))
-    assert text.count("Exchange") == 1
-    window = text.split("Exchange hashpartitioning")[0]
-    assert "content" not in window
+def test_duplicates_do_not_shuffle(spark):
+    assert "Exchange" not in plan(DU.duplicate_blocks(docs(spark)))
+
+
+def test_the_whole_scan_is_one_pass(spark):
+    text = plan(SC.project_scores(RU.scan_rows(docs(spark))))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
 
 
 def test_scores_shuffle_only_counts(spark):
     files = docs(spark)
-    text = plan(SC.project_scores(files, RU.line_findings(files)))
+    text = plan(SC.project_scores(RU.scan_rows(files)))
     assert text.count("Exchange") == 1 and "partial_count_if" in text.replace("partial_count(if", "partial_count_if")
 
 

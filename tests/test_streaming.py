@@ -34,7 +34,7 @@ def test_stream_equals_batch(spark, tmp_path):
         assert next(ticks) == 1
     want = read_corpus(spark, str(root))
     assert found(WA.current_findings(spark, out)) == found(RU.scan_findings(want))
-    scores = {r.project: r.security_score for r in SC.project_scores(want, RU.scan_findings(want)).collect()}
+    scores = {r.project: r.security_score for r in SC.project_scores(RU.scan_rows(want)).collect()}
     snaps = spark.read.parquet(f"{out}/snapshots").where("id like '%2'").collect()
     assert {r.project: r.security_score for r in snaps} == scores
     assert spark.read.parquet(f"{out}/snapshots").select("batch_id").distinct().count() == 3
