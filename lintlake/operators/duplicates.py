@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import is_significant, let, split_lines, trim_ws
 
 
-REPEATS = "array<struct<line_no: int, first_line: int>>"
-CHUNK = 512
+REPEATS = T.ArrayType(T.StructType().add("line_no", "integer").add("first_line", "integer"))
 
 
 def _kept_lines(content: Column) -> Column:
@@ -29,109 +30,73 @@ def _kept_lines(content: Column) -> Column:
 
 
 def _windows(kept: Column, size: int) -> Column:
-    """Start line and 128-bit signature of each run of ``size`` kept lines."""
-
-    def signature(hashes, i):
-        return F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])
-
-    n = F.size(kept["line_no"])
-    return F.when(
-        n >= 2 * size,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))),
-            lambda i: F.struct(
-                F.get(kept["line_no"], i).alias("line_no"),
-                signature(kept["a"], i).alias("sig_a"),
-                signature(kept["b"], i).alias("sig_b"),
-            ),
-        ),
-    )
+    """Start lines and 128-bit signatures of all runs of ``size`` kept lines, in order.
 
-
-def _grow(chunks: Column, tail: Column, item: Column) -> tuple[Column, Column]:
-    """Append to a list held as full chunks plus a short tail.
-
-    Appending to one long array would copy it every time.
+    NULL for a file in which no run occurs twice, which is nearly every file.
     """
-    full = F.size(tail) >= CHUNK
-    return (
-        F.when(full, F.concat(chunks, F.array(tail))).otherwise(chunks),
-        F.when(full, F.array(item)).otherwise(F.concat(tail, F.array(item))),
-    )
 
+    def signatures(hashes: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(hashes) - size, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]),
+        )
 
-def _whole(acc: Column) -> Column:
-    return F.flatten(F.concat(acc["chunks"], F.array(acc["tail"])))
-
-
-def _repeats(windows: Column) -> Column:
-    """Windows seen before, each with the first line of its block.
-
-    Sorted by signature and line, so equal windows are neighbours and the first of a
-    run is the original.
-    """
-    ordered = F.sort_array(
-        F.transform(windows, lambda w: F.struct(w["sig_a"], w["sig_b"], w["line_no"].alias("line_no")))
+    repeated = let(
+        signatures(kept["a"]), lambda a: F.when(F.size(F.array_distinct(a)) < F.size(a), a)
+    )
+    return let(
+        F.when(F.size(kept["a"]) >= 2 * size, repeated),
+        lambda a: F.when(
+            a.isNotNull(),
+            F.struct(
+                F.slice(kept["line_no"], F.lit(1), F.size(a)).alias("line_no"),
+                a.alias("a"),
+                signatures(kept["b"]).alias("b"),
+            ),
+        ),
     )
 
-    def step(acc, w):
-        same = (acc["sig_a"] == w["sig_a"]) & (acc["sig_b"] == w["sig_b"])
-        item = F.struct(w["line_no"].alias("line_no"), acc["first_line"].alias("first_line"))
-        chunks, tail = _grow(acc["chunks"], acc["tail"], item)
-        return F.struct(
-            w["sig_a"].alias("sig_a"),
-            w["sig_b"].alias("sig_b"),
-            F.when(same, acc["first_line"]).otherwise(w["line_no"]).alias("first_line"),
-            F.when(same, chunks).otherwise(acc["chunks"]).alias("chunks"),
-            F.when(same, tail).otherwise(acc["tail"]).alias("tail"),
-        )
 
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("sig_a"),
-        F.lit(None).cast("bigint").alias("sig_b"),
-        F.lit(None).cast("int").alias("first_line"),
-        F.array().cast(f"array<{REPEATS}>").alias("chunks"),
-        F.array().cast(REPEATS).alias("tail"),
-    )
-    return F.sort_array(F.aggregate(ordered, start, step, _whole))
+def _spaced_repeats(size: int):
+    """Repeats in line order, leaving out those within ``size`` lines of the last one kept.
 
+    That choice depends on all earlier ones. A fold with the built-in ``aggregate``
+    copies its list at every step, so this one step runs over Arrow batches; files
+    without a repeat pass NULL.
+    """
 
-def greedy_spacing(found: Column, size: int) -> Column:
-    """Keep each entry whose line_no is at least ``size`` past the last kept one."""
+    @F.pandas_udf(REPEATS)
+    def spaced(lines: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(numbers, first_hash, second_hash):
+            if numbers is None:
+                return None
+            seen, kept, last = {}, [], -size
+            for number, signature in zip(numbers.tolist(), zip(first_hash.tolist(), second_hash.tolist())):
+                first = seen.setdefault(signature, number)
+                if first != number and number - last >= size:
+                    kept.append({"line_no": number, "first_line": first})
+                    last = number
+            return kept
 
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["line_no"] - acc["last"] >= size)
-        chunks, tail = _grow(acc["chunks"], acc["tail"], x)
-        return F.struct(
-            F.when(keep, x["line_no"]).otherwise(acc["last"]).alias("last"),
-            F.when(keep, chunks).otherwise(acc["chunks"]).alias("chunks"),
-            F.when(keep, tail).otherwise(acc["tail"]).alias("tail"),
-        )
+        return pd.Series([one(*row) for row in zip(lines, a, b)], dtype=object)
 
-    start = F.struct(
-        F.lit(None).cast("int").alias("last"),
-        F.array().cast(f"array<{REPEATS}>").alias("chunks"),
-        F.array().cast(REPEATS).alias("tail"),
-    )
-    return F.aggregate(found, start, step, _whole)
+    # Keeps filters on the result above the call; pushed below, Spark cannot run it.
+    return spaced.asNondeterministic()
 
 
-def repeated_blocks(content: Column, block_size: int = V.DUPLICATE_BLOCK) -> Column:
-    """Reported repeats of one file, in line order; NULL when it repeats nothing.
+def with_repeats(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
+    """``files`` with ``repeats``: the reported repeats of each file, NULL if it has none.
 
-    A repeat is reported unless it starts within ``block_size`` lines of one already
-    reported; that choice depends on the order, so it is a fold. Everything stays in
-    the file's row: a file is at most 5 MiB, and nothing is shuffled.
+    Hashing and the test for any repeat stay in the file's row and nothing is shuffled;
+    a file is at most 5 MiB.
     """
     size = max(block_size, 2)
-
-    def judged(windows: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(windows, lambda w: w["sig_a"])))
-        return F.when(distinct < F.size(windows), greedy_spacing(_repeats(windows), size))
-
-    return let(let(_kept_lines(content), lambda kept: _windows(kept, size)), judged)
+    windows = let(_kept_lines(F.col("content")), lambda kept: _windows(kept, size))
+    w = F.col("windows")
+    spaced = _spaced_repeats(size)(w["line_no"], w["a"], w["b"])
+    return files.withColumn("windows", windows).withColumn("repeats", spaced).drop("windows")
 
 
 def duplicate_blocks(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
     """Repeats of every file: project, path, line_no of the repeat, first_line of the block."""
-    return files.select("project", "path", F.inline(repeated_blocks(F.col("content"), block_size)))
+    return with_repeats(files, block_size).select("project", "path", F.inline("repeats"))

@@ -21,7 +21,7 @@ from ..functions.codelines import (
 from ..functions.secrets import may_hold_secret, secret_kind
 from ..functions.text import let, literal_array, split_lines
 from ..schemas import FINDING_COLUMNS, FINDINGS
-from .duplicates import REPEATS, repeated_blocks
+from .duplicates import REPEATS, with_repeats
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,8 @@ def _one_pass(files: DataFrame, config: ScanConfig, file_rows: bool) -> DataFram
     content = F.col("content")
     if config.duplicate_code:
         size = max(config.block_size, 2)
-        whole = F.struct(F.lit("").alias("text"), repeated_blocks(content, size).alias("repeats"))
+        files = with_repeats(files, size)
+        whole = F.struct(F.lit("").alias("text"), F.col("repeats"))
         nothing = F.lit(None).cast(REPEATS).alias("repeats")
         parts = F.concat(
             F.array(whole), F.transform(split_lines(content), lambda t: F.struct(t.alias("text"), nothing))
