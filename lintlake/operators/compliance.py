@@ -17,7 +17,10 @@ Mapping = tuple[str, str, str, str]
 
 
 def finding_keys(findings: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
-    """Rule ids of findings, plus issue ids of vulnerable outcomes. Repeats are kept."""
+    """Rule ids of findings, plus issue ids of vulnerable outcomes. Repeats are kept.
+
+    With ``scan_rows`` the file rows come along as NULL keys, which name their project.
+    """
     keys = findings.select("project", F.col("rule").alias("key"))
     if outcomes is None:
         return keys
@@ -26,22 +29,18 @@ def finding_keys(findings: DataFrame, outcomes: DataFrame | None = None) -> Data
 
 
 def category_status(
-    projects: DataFrame,
     keys: DataFrame,
     mappings: Sequence[Mapping] = V.FRAMEWORK_MAPPINGS,
     categories: Sequence[tuple[str, str]] = V.FRAMEWORK_CATEGORIES,
 ) -> DataFrame:
-    """Every category of every project with its status and reasons in mapping order.
+    """Every category of every project in ``keys``, with its status and ordered reasons.
 
     Warning where a mapped key is present, Passed where some mapping covers the
-    category, else Not assessed, which is never a pass. Projects and keys are stacked
-    and reduced once to the set of mapped keys seen, which is as small as the mapping.
+    category, else Not assessed, which is never a pass. A NULL key only names a project.
+    One aggregate keeps the set of mapped keys seen, which is as small as the mapping.
     """
     mapped = F.when(F.col("key").isin([m[0] for m in mappings]), F.col("key"))
-    stacked = projects.select("project", F.lit(None).cast("string").alias("key")).unionByName(
-        keys.select("project", "key")
-    )
-    present = stacked.groupBy("project").agg(F.collect_set(mapped).alias("present"))
+    present = keys.groupBy("project").agg(F.collect_set(mapped).alias("present"))
 
     def entry(ord_, category, title):
         own = [m for m in mappings if m[1] == category]

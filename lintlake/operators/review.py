@@ -62,9 +62,9 @@ def review_findings(findings: DataFrame, files: DataFrame, added: DataFrame) ->
     return on_added.unionByName(race_findings(present))
 
 
-def review_summary(projects: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings, blocking findings and verdict for every reviewed project."""
-    stacked = projects.select("project", F.lit(None).cast("string").alias("severity")).unionByName(
+def review_summary(added: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings, blocking findings and verdict for every project with added lines."""
+    stacked = added.select("project", F.lit(None).cast("string").alias("severity")).unionByName(
         findings.select("project", "severity")
     )
     verdict = (
@@ -82,28 +82,27 @@ def review_summary(projects: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def gate(
-    projects: DataFrame, findings: DataFrame, user_findings: DataFrame, added: DataFrame
-) -> DataFrame:
+def gate(rows: DataFrame, user_findings: DataFrame, added: DataFrame) -> DataFrame:
     """Pass or fail per project: no blocking scan finding, no user-rule finding at all,
     no blocking review finding.
 
-    The review part marks scan findings on added lines, so the corpus is scanned once
-    for both; race findings are warnings and never block. Everything is stacked and
-    reduced in one aggregate.
+    Takes ``scan_rows``: its file rows name the projects, and its blocking findings are
+    marked where they lie on added lines, so the corpus is scanned once for both. Race
+    findings are warnings and never block. One aggregate reduces everything.
     """
     on_line = added.select(*LINE_KEY).distinct().withColumn("on_added", F.lit(True))
     blocking = is_blocking(F.col("severity"))
-    marked = findings.where(blocking).join(on_line, LINE_KEY, "left")
-
-    def part(df, scan, rules, review):
-        return df.select("project", scan.alias("scan"), rules.alias("rules"), review.alias("review"))
-
-    yes, no = F.lit(1), F.lit(0)
-    stacked = (
-        part(projects, no, no, no)
-        .unionByName(part(marked, yes, no, F.coalesce("on_added", F.lit(False)).cast("int")))
-        .unionByName(part(user_findings, no, yes, no))
+    marked = rows.where(F.col("severity").isNull() | blocking).join(on_line, LINE_KEY, "left")
+    blocks = F.coalesce(blocking, F.lit(False))
+    stacked = marked.select(
+        "project",
+        blocks.cast("int").alias("scan"),
+        F.lit(0).alias("rules"),
+        (blocks & F.col("on_added").isNotNull()).cast("int").alias("review"),
+    ).unionByName(
+        user_findings.select(
+            "project", F.lit(0).alias("scan"), F.lit(1).alias("rules"), F.lit(0).alias("review")
+        )
     )
     return (
         stacked.groupBy("project")

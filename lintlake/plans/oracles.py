@@ -609,7 +609,7 @@ GROUP BY 1, 2, 3""",
 SELECT p.project, count(f.rule) AS total_findings, coalesce(sum({_weight}), 0)::BIGINT AS deduction,
        greatest(0, 100 - coalesce(sum({_weight}), 0))::INT AS security_score
 FROM (SELECT DISTINCT project FROM files) p
-LEFT JOIN (SELECT * FROM findings WHERE rule <> 'duplicate-code') f USING (project) GROUP BY 1"""),
+LEFT JOIN findings f USING (project) GROUP BY 1"""),
     "stream_rate_limit": """
 SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS requests,
        count(*) FILTER (event_type = 'error' AND value > 20) AS blocked,

@@ -279,9 +279,8 @@ def _outcomes(spark, d) -> DataFrame:
 
 @query
 def compliance_status(spark, d):
-    files = D.code_corpus(spark, d)
-    keys = CO.finding_keys(RU.scan_findings(files, SCAN), _outcomes(spark, d))
-    status = CO.category_status(files, keys)
+    rows = RU.scan_rows(D.code_corpus(spark, d), SCAN)
+    status = CO.category_status(CO.finding_keys(rows, _outcomes(spark, d)))
     return status.withColumn("reasons", F.array_join("reasons", "; "))
 
 
@@ -363,15 +362,13 @@ def review_findings(spark, d):
 
 @query
 def review_summary(spark, d):
-    return RV.review_summary(D.code_corpus(spark, d), _review(spark, d))
+    return RV.review_summary(_added(spark, d), _review(spark, d))
 
 
 @query
 def gate(spark, d):
-    files = D.code_corpus(spark, d)
-    return RV.gate(
-        files, RU.scan_findings(files, SCAN), user_rules(spark, d), _added(spark, d)
-    )
+    rows = RU.scan_rows(D.code_corpus(spark, d), SCAN)
+    return RV.gate(rows, user_rules(spark, d), _added(spark, d))
 
 
 @query
@@ -534,11 +531,8 @@ def stream_scan(spark, d):
 
 @query
 def stream_score(spark, d):
-    files = _stream_files(spark, d)
-    severities = files.select("project", F.lit(None).cast("string").alias("severity")).unionByName(
-        RU.line_findings(files, SCAN).select("project", "severity")
-    )
-    scores = WA.live_scores(severities, SC.severity_weight(F.col("severity")))
+    rows = RU.scan_rows(_stream_files(spark, d), SCAN)
+    scores = WA.live_scores(rows, SC.severity_weight(F.col("severity")))
     out = fresh_dir(spark, "score")
     SI.run_to_table(scores, out, fresh_dir(spark, "score-checkpoint"), mode="update").awaitTermination()
     return SI.newest_rows(spark.read.parquet(out), ["project"])

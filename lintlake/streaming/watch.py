@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import fixed_values as V
 from ..operators.changes import listing_changes
 from ..operators.history import make_snapshots
-from ..operators.rules import ScanConfig, scan_findings
+from ..operators.rules import ScanConfig, scan_rows
 from ..operators.scoring import project_scores, with_files
-from ..schemas import FINDINGS
+from ..schemas import FINDING_COLUMNS, FINDINGS
 from ..sources.corpus import corpus_from_binary
 from .sinks import run_each_batch, write_batch
 
@@ -48,12 +48,14 @@ def scan_stream(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        # Findings and file rows are kept between the two writes, file contents are not.
+        rows = scan_rows(batch, load_config()).persist()
         try:
-            write_batch(scan_findings(batch, load_config()), f"{out}/findings", batch_id)
-            write_batch(batch.select("project", "path", "lines"), f"{out}/files", batch_id)
+            found, seen = rows.where("rule IS NOT NULL"), rows.where("rule IS NULL")
+            write_batch(found.select(*FINDING_COLUMNS), f"{out}/findings", batch_id)
+            write_batch(seen.select("project", "path", "lines"), f"{out}/files", batch_id)
         finally:
-            batch.unpersist()
+            rows.unpersist()
         if clock_ns is not None:
             spark = batch.sparkSession
             scores = project_scores(with_files(current_files(spark, out), current_findings(spark, out)))
@@ -80,7 +82,7 @@ def current_findings(spark: SparkSession, out: str) -> DataFrame:
 
 
 def live_scores(findings: DataFrame, weight: Column) -> DataFrame:
-    """Running findings, deduction and score per project over a stream of findings.
+    """Running findings, deduction and score per project over a stream of ``scan_rows``.
 
     A row without a severity stands for a file and keeps a clean project in the table.
     """

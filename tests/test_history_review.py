@@ -98,7 +98,7 @@ def test_review_and_gate(spark, make_files):
     assert verdicts == {"bad": (2, 1, "failed"), "warn": (1, 0, "passed with advisories"), "fine": (0, 0, "passed")}
     user = spark.createDataFrame([("fine", "r")], "project STRING, rule STRING")
     gates = {r.project: (r.scan_blocking, r.rule_findings, r.review_blocking, r.passed)
-             for r in RV.gate(files, found, user, added).collect()}
+             for r in RV.gate(RU.scan_rows(files), user, added).collect()}
     assert gates == {"bad": (2, 0, 1, False), "warn": (0, 0, 0, True), "fine": (0, 1, 0, False)}
     assert {r.path for r in RV.touched_files(files, added).collect()} == {"a.py", "b.py"}
 
@@ -107,15 +107,15 @@ def test_review_and_gate(spark, make_files):
 
 
 def status(spark, keys):
-    k = spark.createDataFrame([("p", x) for x in keys], "project STRING, key STRING")
-    p = spark.createDataFrame([("p",)], "project STRING")
-    return {r.id[:3]: (r.status, r.reasons) for r in CO.category_status(p, k).collect()}
+    k = spark.createDataFrame([("p", x) for x in [None, *keys]], "project STRING, key STRING")
+    return {r.id[:3]: (r.status, r.reasons) for r in CO.category_status(k).collect()}
 
 
 def test_category_status(spark):
     got = status(spark, ["KLR-SQLI", "dangerous-command", "todo-tracker"])
     assert got["A03"] == ("Warning", ["OS Command Injection (dangerous-command)", "SQL Injection (KLR-SQLI)"])
     assert got["A07"] == ("Passed", []) and got["A10"] == ("Not assessed", []) and len(got) == 10
+    assert {s for s, _ in status(spark, []).values()} == {"Passed", "Not assessed"}
     got = status(spark, ["hardcoded-secret"])
     assert got["A07"][0] == "Warning" and got["A03"][0] == "Passed"
 
@@ -123,7 +123,7 @@ def test_category_status(spark):
 def test_extra_mapping(spark):
     extra = [("todo-tracker", "A09:2021", "CWE-546", "Suspicious Comment")]
     k = spark.createDataFrame([("p", "todo-tracker")], "project STRING, key STRING")
-    rows = {r.id: r.status for r in CO.category_status(k, k, extra).collect()}
+    rows = {r.id: r.status for r in CO.category_status(k, extra).collect()}
     assert rows["A09:2021"] == "Warning" and rows["A03:2021"] == "Not assessed"
     assert CO.weakness_counts(k, extra).first().cwe == "CWE-546"
 
@@ -159,6 +159,21 @@ def test_glyphs_and_bands(spark):
     assert [r.band for r in rows] == ["poor"] * 3 + ["fair"] * 2 + ["good"] * 2
 
 
+def test_json_sink(spark, tmp_path):
+    rows = snapshots(spark, (78, 30), (88, 12))
+    ST.write_json(HI.score_trend(rows), str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out")).first()
+    assert back.score_change == 10 and back.latest.total_findings == 12
+
+
+def test_rule_and_case_tables(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('{"name": "r", "contains": ["x"], "severity": "low"}\n')
+    (tmp_path / "cases.json").write_text('{"case_id": "c", "send": {"a": "1"}, "checks": ["auth"]}\n')
+    rule = ST.read_line_rules(spark, str(tmp_path / "rules.json")).first()
+    case = ST.read_probe_cases(spark, str(tmp_path / "cases.json")).first()
+    assert (rule.contains, rule.reaches) == (["x"], None) and (case.send, case.checks) == ({"a": "1"}, ["auth"])
+
+
 def test_saved_state(spark, tmp_path, make_files):
     path = str(tmp_path / "history")
     files = make_files(("a.py", "eval(x)\n"))
