@@ -90,3 +90,12 @@ def dependency_nodes(files: DataFrame, declared: DataFrame | None = None) -> Dat
             (F.col("importing_files").isNotNull() | F.col("pathed").isNotNull()).alias("used"),
         )
     )
+
+
+def node_totals(nodes: DataFrame) -> DataFrame:
+    """Declared, used and possibly unused packages per project."""
+    return nodes.groupBy("project").agg(
+        F.count("*").alias("declared"),
+        F.count_if("used").alias("used"),
+        F.count_if(~F.col("used")).alias("unused"),
+    )

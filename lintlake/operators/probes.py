@@ -82,6 +82,14 @@ def generator_catalog(spark: SparkSession) -> DataFrame:
     )
 
 
+def default_mutations(fields: Column) -> Column:
+    """``mutations`` that vary each field with the default generators."""
+    return F.transform(
+        fields,
+        lambda f: F.struct(f.alias("field"), literal_array(V.DEFAULT_GENERATORS).alias("generators")),
+    )
+
+
 # --- expansion ----------------------------------------------------------------
 
 

@@ -228,6 +228,16 @@ inventory AS (
       END AS used
   FROM declared d)"""
 
+NODES = f"""
+nodes AS (
+  SELECT n.project, n.name, n.manifest, n.dev, coalesce(i.files, 0) AS importing_files,
+         i.files IS NOT NULL OR p.ident IS NOT NULL AS used
+  FROM (SELECT DISTINCT ON (project, name, manifest) project, name, manifest, dev FROM declared
+        WHERE ecosystem IN {_in(V.USAGE_ECOSYSTEMS)} ORDER BY project, name, manifest, path, dev) n
+  LEFT JOIN (SELECT project, replace(lower(module), '_', '-') AS norm, count(*) AS files FROM edges GROUP BY 1, 2) i
+    ON i.project = n.project AND i.norm = replace(lower(n.name), '_', '-')
+  LEFT JOIN path_uses p ON p.project = n.project AND p.ident = replace(n.name, '-', '_'))"""
+
 # --- probes -----------------------------------------------------------------------
 
 _sql_error = _any("lower(body)", V.SQL_ERROR_WORDS)
@@ -494,14 +504,10 @@ SELECT project, name, version, declarations, n_versions FROM (
   SELECT project, name, version, count(*) AS declarations, count(*) OVER (PARTITION BY project, name) AS n_versions
   FROM declared WHERE version IS NOT NULL GROUP BY 1, 2, 3) WHERE n_versions > 1"""),
     "ecosystem_counts": _with(DECLARED, body="SELECT project, ecosystem, count(*) AS packages FROM declared GROUP BY 1, 2"),
-    "dependency_nodes": _with(IMPORTS, DECLARED, INVENTORY, body=f"""
-SELECT n.project, n.name, n.manifest, n.dev, coalesce(i.files, 0) AS importing_files,
-       i.files IS NOT NULL OR p.ident IS NOT NULL AS used
-FROM (SELECT DISTINCT ON (project, name, manifest) project, name, manifest, dev FROM declared
-      WHERE ecosystem IN {_in(V.USAGE_ECOSYSTEMS)} ORDER BY project, name, manifest, path, dev) n
-LEFT JOIN (SELECT project, replace(lower(module), '_', '-') AS norm, count(*) AS files FROM edges GROUP BY 1, 2) i
-  ON i.project = n.project AND i.norm = replace(lower(n.name), '_', '-')
-LEFT JOIN path_uses p ON p.project = n.project AND p.ident = replace(n.name, '-', '_')"""),
+    "dependency_nodes": _with(IMPORTS, DECLARED, INVENTORY, NODES, body="SELECT * FROM nodes"),
+    "node_totals": _with(IMPORTS, DECLARED, INVENTORY, NODES, body="""
+SELECT project, count(*) AS declared, count(*) FILTER (used) AS used, count(*) FILTER (NOT used) AS unused
+FROM nodes GROUP BY 1"""),
     "compliance_status": _with(*SCAN_CTES, *PROBES, KEYS, body="""
 SELECT p.project, c.ord::INT AS ord, c.id, c.title,
        CASE WHEN count(k.key) > 0 THEN 'Warning' WHEN count(m.key) > 0 THEN 'Passed' ELSE 'Not assessed' END AS status,

@@ -269,6 +269,11 @@ def dependency_nodes(spark, d):
     )
 
 
+@query
+def node_totals(spark, d):
+    return GR.node_totals(dependency_nodes(spark, d))
+
+
 # --- framework ------------------------------------------------------------------------
 
 

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
 
 
+def read_diffs(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """One row per diff file: project, diff_id (the file name) and its text."""
+    return spark.read.text(path, wholetext=True).select(
+        F.lit(project).alias("project"),
+        F.substring_index(F.input_file_name(), "/", -1).alias("diff_id"),
+        F.col("value").alias("diff"),
+    )
+
+
 def diff_rows(diffs: DataFrame) -> DataFrame:
     """(project, diff_id, pos, text) rows from one diff text per row in ``diff``."""
     return diffs.select(

@@ -146,5 +146,7 @@ def test_graph(make_files):
     assert [(r.path, r.n_imports) for r in GR.import_hotspots(files, 1).collect()] == [("a.py", 2)]
     s = GR.graph_summary(edges).first()
     assert (s.edges, s.modules, s.importing_files) == (4, 3, 3)
+    totals = GR.node_totals(GR.dependency_nodes(files)).first()
+    assert (totals.declared, totals.used, totals.unused) == (3, 3, 0)
     nodes = {r.name: (r.importing_files, r.used) for r in GR.dependency_nodes(files).collect()}
     assert nodes == {"numpy": (2, True), "a_b": (2, True), "lost": (0, True)}

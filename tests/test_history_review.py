@@ -67,6 +67,13 @@ def test_deleted_file_and_two_files(spark):
     assert lines_of(spark, two) == [("a.rs", 1, "x"), ("b.rs", 6, "y")]
 
 
+def test_read_diffs(spark, tmp_path):
+    (tmp_path / "1.diff").write_text(TWO_HUNKS)
+    diffs = DI.read_diffs(spark, str(tmp_path), "p")
+    assert diffs.first().diff_id == "1.diff"
+    assert DI.added_lines(DI.diff_rows(diffs)).count() == 3
+
+
 def test_odd_diffs_in_every_chunk_size(spark):
     odd = ("+early\n@@ -1 +3 @@\n+no file yet\n+++ b/a.rs\n+carries on\n ctx\n@@ bad @@\n+still\n++ looks like a header\n"
            "+++ /dev/null\n+ghost\n ghost\n+++ c.rs\n+after\n@@ -1 +40,2 @@\n-gone\n\\ No newline\n+forty\n--- a/skipped\n+++ b/d.rs\n+next\n"

@@ -72,6 +72,12 @@ def test_generators(values, spark):
     assert sum(len(r["values"]) for r in PR.generator_catalog(spark).collect()) == 14
 
 
+def test_default_mutations(spark):
+    row = spark.range(1).select(PR.default_mutations(F.array(F.lit("q"), F.lit("r"))).alias("m")).first()
+    assert [m.field for m in row.m] == ["q", "r"]
+    assert row.m[0].generators == ["sql_injection", "xss", "huge_values", "negative_numbers", "empty"]
+
+
 def test_seed_suites(spark):
     seeds = PR.seed_cases(spark, "p")
     expanded = PR.expand_cases(seeds)
