@@ -29,6 +29,11 @@ def severity_of_word(word: Column) -> Column:
     return _pick(F.lower(word), V.SEVERITY_WORDS.items())
 
 
+def rule_rank(rule: Column) -> Column:
+    """Built-in rules in their order; registered rules come after them."""
+    return F.coalesce(_pick(rule, [(r, i) for i, r in enumerate(V.RULES)]), F.lit(len(V.RULES)))
+
+
 def is_blocking(severity: Column) -> Column:
     return severity.isin("CRITICAL", "HIGH")
 
@@ -94,7 +99,9 @@ def severity_bars(findings: DataFrame) -> DataFrame:
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
     """Report order: severity, path, line, then rule. A range-partitioned sort."""
-    return findings.orderBy("project", severity_rank(F.col("severity")), "path", "line_no", "rule")
+    return findings.orderBy(
+        "project", severity_rank(F.col("severity")), "path", "line_no", rule_rank(F.col("rule")), "rule"
+    )
 
 
 def top_findings(findings: DataFrame, limit: int) -> DataFrame:
@@ -103,7 +110,7 @@ def top_findings(findings: DataFrame, limit: int) -> DataFrame:
     A rank filter lets Spark cut each task's rows before the shuffle.
     """
     order = Window.partitionBy("project").orderBy(
-        severity_rank(F.col("severity")), "path", "line_no", "rule", "message"
+        severity_rank(F.col("severity")), "path", "line_no", rule_rank(F.col("rule")), "rule", "message"
     )
     return findings.withColumn("position", F.row_number().over(order)).where(
         F.col("position") <= limit

@@ -145,6 +145,7 @@ findings AS (SELECT * FROM secrets UNION ALL SELECT * FROM commands UNION ALL SE
              UNION ALL SELECT * FROM large UNION ALL SELECT * FROM dups)""")
 
 _rank = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'WARNING' THEN 2 ELSE 3 END"
+_rule_rank = "CASE rule " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(V.RULES)) + " ELSE 99 END"
 _weight = "CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 10 WHEN 'WARNING' THEN 3 WHEN 'INFO' THEN 1 END"
 _counts = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s, _, _ in V.SEVERITIES)
 
@@ -477,10 +478,10 @@ FROM (SELECT p.project, s.s, count(f.severity) AS n FROM (SELECT DISTINCT projec
     "category_counts": _with(*SCAN_CTES, body="SELECT project, category, count(*) AS n FROM findings GROUP BY 1, 2"),
     "blocking_projects": _with(*SCAN_CTES, SCORES, body="SELECT project, critical, high FROM scores WHERE blocking"),
     "findings_report": _with(*SCAN_CTES, body=f"""
-SELECT project, severity, path, line_no, rule FROM findings ORDER BY project, {_rank}, path, line_no, rule"""),
+SELECT project, severity, path, line_no, rule FROM findings ORDER BY project, {_rank}, path, line_no, {_rule_rank}, rule"""),
     "top_findings": _with(*SCAN_CTES, body=f"""
 SELECT project, position, severity, path, line_no, rule FROM (
-  SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_rank}, path, line_no, rule, message)::INT AS position FROM findings)
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_rank}, path, line_no, {_rule_rank}, rule, message)::INT AS position FROM findings)
 WHERE position <= 5"""),
     "code_imports": _with(CODE, CODE_IMPORTS, body="SELECT project, path, module FROM code_edges"),
     "import_edges": _with(IMPORTS, body="SELECT project, path, module FROM edges"),
