@@ -8,9 +8,11 @@ CHUNKS + RELAXED - 1 = DISTANCE symbols, some chunk of theirs differs by no more
 0.85 stay within the distance with a probability above 0.99999; every pair found is confirmed on the
 full sets, so no false link remains.
 
-Equal sets form a class first, and classes are linked: first every class with its nearest class,
-then, of pairs in one bucket, only those whose classes aren't connected yet. A bucket beyond BLOCK
-classes is split into blocks and worked on as pairs of blocks.
+Equal sets form a class first. A bucket gives a minimum spanning forest of the pairs within the distance,
+so what comes out grows with the bucket and not with its square; all links lie inside the clusters which
+the forests connect. Each class is first compared with its nearest class; after that only classes
+of one cluster that aren't connected yet are. Buckets and clusters beyond a number of classes are split
+into blocks and worked on as pairs of blocks.
 
 Null or empty texts have an empty set and are linked with nothing. Repeated rows are copies. Rows
 with a null id take part; a component's id is the smallest id in it, or null if there is none.
@@ -34,7 +36,9 @@ SYMBOLS = 64
 CHUNKS = 16
 RELAXED = 8
 DISTANCE = CHUNKS + RELAXED - 1
+#: Classes of a bucket, and full sets of a cluster, that one task compares at once.
 BLOCK = 4096
+SET_BLOCK = 768
 _WIDTH = SYMBOLS // CHUNKS
 
 _random = np.random.default_rng(85)
@@ -132,92 +136,119 @@ def _sketch(marks: np.ndarray) -> np.ndarray:
     return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Symbols in which sketches differ, rows of x against rows of y."""
-    out = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(4):
-        d = x[:, k, None] ^ y[None, :, k]
-        d |= d >> np.uint64(1)
-        d |= d >> np.uint64(2)
-        d &= np.uint64(0x1111111111111111)
-        out += np.bitwise_count(d)
-    return out
+def _nibbles(d: np.ndarray) -> np.ndarray:
+    """How many nibbles of each value aren't 0."""
+    d = d | (d >> np.uint64(1))
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111))
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each bucket together; rows arrive sorted by the keys. A bucket holds 2 BLOCK rows at most."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows with equal keys, some at a time, and the groups' edges; rows arrive sorted by the keys."""
     held: list[pa.RecordBatch] = []
+
+    def whole(batches_: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(batches_).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return table, np.append(np.flatnonzero(new), table.num_rows)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = not held or any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
-        edges = [*np.flatnonzero(new), batch.num_rows]
-        if edges[0]:
-            held.append(batch.slice(0, edges[0]))
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [batch.slice(i, j - i)]
+        last = [batch.column(k)[-1] for k in keys]
+        if held and all(held[-1].column(k)[-1].equals(x) for k, x in zip(keys, last, strict=True)):
+            held.append(batch)
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for k, x in zip(keys, last, strict=True):
+            same &= batch.column(k).to_numpy(zero_copy_only=False) == x.as_py()
+        cut = int(np.flatnonzero(~same).max()) + 1 if not same.all() else 0
+        done = [*held, batch.slice(0, cut)] if cut else held
+        if done:
+            yield whole(done)
+        held = [batch.slice(cut)]
     if held:
-        yield pa.Table.from_batches(held)
+        yield whole(held)
+
+
+def _class_arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    return tuple(column.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+
+
+def _spanning(n: int, distances) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest of n nodes; ``distances(i)`` gives those of node i to all, 255 for none."""
+    best, source = np.full(n, 255, np.uint8), np.full(n, -1)
+    free, edges = np.ones(n, bool), []
+    for _ in range(n):
+        at = int(np.where(free, best, 255).argmin())
+        if not free[at] or best[at] == 255:
+            at = int(free.argmax())
+        elif source[at] >= 0:
+            edges.append((int(source[at]), at))
+        free[at] = False
+        far = distances(at)
+        closer = free & (far < best)
+        best[closer], source[closer] = far[closer], at
+    return edges
 
 
-def _bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of classes in one bucket whose sketches are within DISTANCE and whose sizes allow a link.
+def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """x, y, distance: a minimum spanning forest of each bucket over the pairs within DISTANCE whose sizes allow a link.
 
-    nearest: per member, only the nearest such class of the same block; otherwise all pairs
-    whose labels differ.
+    Linear in the bucket, it holds each class's nearest neighbour and connects all pairs of the bucket
+    that could be links. Distances are of four bits of each symbol, so they never overstate.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _bucket_rows(batches, ["key", "i", "j"]):
-            if table.num_rows < 2:
-                continue
-            table = table.combine_chunks()
-            marks, size = _marks(table.column("signature")), table.column("n_shingles").to_numpy()
-            sketch, block = _sketch(marks), table.column("block").to_numpy()
-            cls = table.column("cls").combine_chunks()
-            a, b = (cls.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            label = table.column("label").combine_chunks()
-            la, lb = (label.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            left = np.flatnonzero(block == i)
-            right = left if i == j else np.flatnonzero(block == j)
-            for at in range(0, len(left), 512):
-                x = left[at : at + 512]
-                far = _distances(sketch[x], sketch[right])
-                fits = far <= DISTANCE
-                fits &= 100 * np.minimum(size[x, None], size[right]) >= percent * np.maximum(size[x, None], size[right])
-                if nearest:
-                    fits &= x[:, None] != right
-                    far = np.where(fits, far, 255)
-                    best = far.argmin(axis=1)
-                    p = np.flatnonzero(far[np.arange(len(x)), best] < 255)
-                    q = best[p]
-                else:
-                    fits &= (la[x, None] != la[right]) | (lb[x, None] != lb[right])
-                    if i == j:
-                        fits &= x[:, None] < right
-                    p, q = np.nonzero(fits)
-                if len(p):
-                    distance = (marks[x[p]] != marks[right[q]]).sum(axis=1)
-                    ok = distance <= DISTANCE
-                    p, q = x[p[ok]], right[q[ok]]
-                    swap = (a[p] > a[q]) | ((a[p] == a[q]) & (b[p] > b[q]))
-                    p, q = np.where(swap, q, p), np.where(swap, p, q)
-                    yield pa.record_batch({"x": _structs(a[p], b[p]), "y": _structs(a[q], b[q]), "distance": pa.array(distance[ok], pa.int32())})
-
-    blocks = F.col("blocks")
-    one = (
-        members.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("cls"), blocks)).otherwise(0).cast("int"))
-        .withColumn("other", F.explode(F.when(F.lit(nearest) | (blocks == 1), F.array("block")).otherwise(F.sequence(F.lit(0), (blocks - 1).cast("int")))))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    )
-    return one.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls").mapInArrow(emit, f"x {CLASS}, y {CLASS}, distance int")
+        for table, edges in _groups(batches, ["key", "i", "j"]):
+            marks, size = _marks(table.column("signature").combine_chunks()), table.column("n_shingles").to_numpy()
+            sketch = _sketch(marks)
+            count = np.diff(edges)
+            first, second = [], []
+            two = edges[:-1][count == 2]
+            for step, at in ((1, two), (1, edges[:-1][count == 3]), (1, edges[:-1][count == 3] + 1), (2, edges[:-1][count == 3])):
+                first.append(at)
+                second.append(at + step)
+            for k in np.flatnonzero(count > 3):
+                own, sizes = sketch[edges[k] : edges[k + 1]], size[edges[k] : edges[k + 1]]
+
+                def distances(i: int, own=own, sizes=sizes) -> np.ndarray:
+                    far = _nibbles(own ^ own[i]).sum(axis=1)
+                    fits = (far <= DISTANCE) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+                    return np.where(fits, far, 255).astype(np.uint8)
+
+                pairs = np.array(_spanning(len(own), distances), np.int64).reshape(-1, 2) + edges[k]
+                first.append(pairs[:, 0])
+                second.append(pairs[:, 1])
+            p, q = np.concatenate(first), np.concatenate(second)
+            far = np.zeros(len(p), np.int64)
+            for at in range(0, len(p), 8192):
+                far[at : at + 8192] = (marks[p[at : at + 8192]] != marks[q[at : at + 8192]]).sum(axis=1)
+            # an edge of a forest stays if its sketches are near, as it may connect two others
+            keep = _nibbles(sketch[p] ^ sketch[q]).sum(axis=1) <= DISTANCE
+            keep &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+            p, q, far = p[keep], q[keep], far[keep]
+            if len(p):
+                a, b = _class_arrays(table.column("cls"))
+                swap = (a[p] > a[q]) | ((a[p] == a[q]) & (b[p] > b[q]))
+                p, q = np.where(swap, q, p), np.where(swap, p, q)
+                yield pa.record_batch({"x": _structs(a[p], b[p]), "y": _structs(a[q], b[q]), "distance": pa.array(far, pa.int32())})
+
+    return _blocks(members, "key", F.col("blocks")).mapInArrow(emit, f"x {CLASS}, y {CLASS}, distance int")
+
+
+def _blocks(members: DataFrame, key: str, blocks) -> DataFrame:
+    """The rows dealt out by key and pair of blocks (i, j); with one block a row comes once."""
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("cls"), blocks)).otherwise(0).cast("int")
+    others = F.when(blocks > 1, F.sequence(F.lit(0), (blocks - 1).cast("int"))).otherwise(F.array(F.lit(0)))
+    dealt = members.withColumn("block", own).withColumn("other", F.explode(others))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "cls")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,6 +268,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("x", "y", "p", "q").mapInArrow(compare, f"x {CLASS}, y {CLASS}")
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share."""
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    value, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count > 1
+    column = (np.cumsum(shared) - 1)[inverse]
+    used = shared[inverse]
+    owner, column = owner[used], column[used]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
+    """x, y: links between classes of different labels, compared on full sets within each cluster.
+
+    Per pair of blocks only a spanning forest of the labels comes out.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _groups(batches, ["cluster", "i", "j"]):
+            a, b = _class_arrays(table.column("cls"))
+            labels = list(zip(*(x.tolist() for x in _class_arrays(table.column("label"))), strict=True))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            x, y = [], []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s < 2 or len(set(labels[s:e])) < 2:
+                    continue
+                sizes = np.array([len(v) for v in sets[s:e]])
+                both = intersections(sets[s:e])
+                linked = 100 * both >= percent * (sizes[:, None] + sizes - both)
+                _, number = np.unique(np.array(labels[s:e]), axis=0, return_inverse=True)
+                number = number.ravel()
+                linked &= number[:, None] < number
+                root = list(range(number.max() + 1))
+
+                def find(v: int, root=root) -> int:
+                    while root[v] != v:
+                        root[v] = root[root[v]]
+                        v = root[v]
+                    return v
+
+                for p, q in zip(*np.nonzero(linked), strict=True):
+                    u, v = find(int(number[p])), find(int(number[q]))
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        x.append(s + p)
+                        y.append(s + q)
+            if x:
+                yield pa.record_batch({"x": _structs(a[x], b[x]), "y": _structs(a[y], b[y])})
+
+    return _blocks(members, "cluster", F.col("blocks")).mapInArrow(compare, f"x {CLASS}, y {CLASS}")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, shingles: the full set of each wanted class (doc_id, cls), read from the text of its smallest id."""
 
@@ -258,22 +349,24 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = shared.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     members = keys.join(shared, "key").join(classes.select("cls", "n_shingles", "signature"), "cls")
-    members = stored(members, "buckets")
-
-    near = _bucket_pairs(members.withColumn("label", F.col("cls")), percent, nearest=True)
-    ends = stored(near, "near")
-    wanted = ends.select(F.col("x").alias("cls")).union(ends.select(F.col("y").alias("cls"))).distinct()
-    sets = stored(_sets(docs, classes.join(wanted, "cls").select("doc_id", "cls")), "sets")
-    best = F.min(F.struct("distance", "to"))
-    directed = ends.select(F.col("x").alias("at"), F.col("y").alias("to"), "distance").union(ends.select(F.col("y"), F.col("x"), "distance"))
-    first = directed.groupBy("at").agg(best.alias("best")).select("at", F.col("best.to").alias("to"))
+    near = stored(_near_pairs(members, percent), "near").groupBy("x", "y").agg(F.min("distance").alias("distance"))
+    near = stored(near, "near")
+
+    clusters = components(near).withColumnRenamed("node", "cls").withColumnRenamed("label", "cluster")
+    clusters = stored(clusters.join(classes.select("cls", "doc_id"), "cls"), "clusters")
+    sets = stored(_sets(docs, clusters.select("doc_id", "cls")), "sets")
+
+    directed = near.select(F.col("x").alias("at"), F.col("y").alias("to"), "distance").union(near.select(F.col("y"), F.col("x"), "distance"))
+    first = directed.groupBy("at").agg(F.min(F.struct("distance", "to")).alias("best")).select("at", F.col("best.to").alias("to"))
     first = first.select(F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y")).distinct()
     found = stored(_confirmed(first, sets, percent), "links")
 
     labels = components(found).withColumnRenamed("node", "cls")
-    labelled = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rest = _bucket_pairs(labelled, percent, nearest=False).select("x", "y").distinct()
-    return found.union(stored(_confirmed(rest.join(first, ["x", "y"], "left_anti"), sets, percent), "links"))
+    labelled = clusters.join(labels, "cls", "left").select("cls", "cluster", F.coalesce("label", "cls").alias("label"))
+    open_ = labelled.groupBy("cluster").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = open_.where("low < high").select("cluster", F.ceil(F.col("size") / SET_BLOCK).cast("long").alias("blocks"))
+    rest = labelled.join(open_, "cluster").select(F.xxhash64("cluster").alias("cluster"), "cls", "label", "blocks").join(sets, "cls")
+    return found.union(stored(_cluster_links(rest, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
