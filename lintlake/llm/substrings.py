@@ -3,7 +3,7 @@
 The suffixes that matter start at windows which can repeat at all. Each window has an anchor: the
 first of the smallest hashes of its runs of ANCHOR words. Equal windows have equal anchors at
 equal places, so only windows whose anchor occurs twice or more go on. The anchor is the
-prefix that parts suffixes into groups; where more than GROUP texts hold an anchor the prefix grows to
+prefix that parts suffixes into groups; where an anchor has more than GROUP places the prefix grows to
 the whole window, and such groups are counted without being held. A group's suffix tree is
 grown from the top, level by level: a node splits by the next words, nodes of a single suffix end, and the
 nodes that reach the depth of a window are the deep internal nodes, whose suffixes are repeats.
@@ -29,7 +29,7 @@ from .tables import free_name, stored
 
 WINDOW = 35
 ANCHOR = 8
-#: Texts with one anchor that are held as a group at most.
+#: Places of one anchor that are held as a group at most.
 GROUP = 4096
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -57,30 +57,33 @@ def _cls(text: str = "text") -> Column:
 
 
 def _described(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """doc_id, cls, n_words, whole (digest of all words), anchors: one that occurs at two places of the text is there twice."""
+    """doc_id, cls, n_words, whole (digest of all words), anchors with the number of places each has in the text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch.column("text")):
                 hashes = run.word_hashes()
                 _, _, first = run.words
-                whole, found = [], []
+                whole, found, places = [], [], []
                 for i in range(run.n):
                     whole.append(_digest(run.text(i)))
                     gram, at = anchors(hashes[first[i] : first[i + 1]], window, width)
                     gram = gram[np.unique(at, return_index=True)[1]]
                     value, count = np.unique(gram, return_counts=True)
-                    found.append(np.concatenate((value, value[count > 1])).view(np.int64))
+                    found.append(value.view(np.int64))
+                    places.append(count)
+                edges = np.cumsum([0, *map(len, found)])
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(places), pa.int32())], names=["anchor", "n"])
                 part = batch.slice(run.first, run.n)
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"), "cls": part.column("cls"), "n_words": pa.array(np.diff(first), pa.int64()),
-                        "whole": pa.array(whole, pa.string()), "anchors": pa.array(found, pa.list_(pa.int64())),
+                        "whole": pa.array(whole, pa.string()), "anchors": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs),
                     }
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _cls().alias("cls"), "text").mapInArrow(
-        describe, "doc_id long, cls binary, n_words long, whole string, anchors array<long>"
+        describe, "doc_id long, cls binary, n_words long, whole string, anchors array<struct<anchor: long, n: int>>"
     )
 
 
@@ -227,9 +230,9 @@ def _held_repeats(held: DataFrame, window: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, classes: DataFrame, window: int = WINDOW, width: int = ANCHOR, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """The candidate texts (cls, text), and per text the runs of repeated windows (cls, ranges)."""
-    found = classes.select(F.xxhash64("cls").alias("id"), F.explode("anchors").alias("anchor"))
-    counts = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    lists = found.join(counts.select("anchor"), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated"))
+    found = classes.select(F.xxhash64("cls").alias("id"), F.inline("anchors"))
+    counts = stored(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    lists = found.select("id", "anchor").join(counts.select("anchor"), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated"))
     wanted = classes.withColumn("id", F.xxhash64("cls")).join(lists, "id").select("cls", "doc_id", "repeated")
     candidates = stored(_candidates(docs, wanted, window, width).dropDuplicates(["cls"]), "candidates")
 
