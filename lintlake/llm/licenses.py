@@ -1,6 +1,6 @@
 """Licence scans: whole texts and whole lines, brought to a canonical form, joined to known licences by digest.
 
-Canonical form: A-Z lower-cased, copyright lines dropped, equivalent spellings made one, everything of ASCII
+Canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything of ASCII
 but letters and digits turned into single spaces. Units with an empty form match nothing. Null
 and empty texts have no units. Repeated rows give equal rows; two known licences with equal forms both match. All of it is
 DataFrame functions; ``oracle`` is the same in SQL.
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"(^|\n)[ \t*#/]*(?:copyright|\(c\)|©)[^\n]*"
 _OTHER = r"[\x01-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Pairs of a pattern and what stands for it, applied in this order to lower-cased text.
@@ -19,7 +18,7 @@ SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("organisation", "organization"), ("merchantibility", "merchantability"),
     ("non-commercial|noncommercial", "noncommercial"), ("sub-license", "sublicense"), ("copyright holders?", "copyright holder"), ("copyright owners?", "copyright holder"),
     ("&", " and "), ("https?://", ""), (r"\bv(?:ersion|er|\.)? ?([0-9])", "version {1}"), (r"\bversion ([0-9]+)\.0\b", "version {1}"),
-    ("creative commons attribution-noncommercial|creative commons by-nc", "cc by-nc"), ("gnu gpl|gnu general public license", "gpl"), (r"\bthe\b", ""),
+    ("creative commons attribution-noncommercial|creative commons by-nc", "cc by-nc"), ("gnu gpl|gnu general public license", "gpl"),
 ]
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -53,31 +52,43 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _COPYRIGHT, "$1")
+def canonical_line(line: Column) -> Column:
+    """Canonical form of a text without line breaks. The spellings are only gone through where one of them occurs."""
+    line = F.lower(line)
+    spelled = line
     for pattern, one in SPELLINGS:
-        text = F.regexp_replace(text, pattern, one.replace("{1}", "$1"))
-    return F.trim(F.regexp_replace(text, _OTHER, " "))
+        spelled = F.regexp_replace(spelled, pattern, one.replace("{1}", "$1"))
+    some = "(?=[lomnsch&vg])(?:" + "|".join(p for p, _ in SPELLINGS) + ")"
+    spelled = F.when(line.rlike(some), spelled).otherwise(line)
+    return F.when(line.rlike(_COPYRIGHT), "").otherwise(F.trim(F.regexp_replace(spelled, _OTHER, " ")))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, null for an empty one."""
-    form = canonical(text)
+def forms(text: Column) -> Column:
+    """Canonical forms of the lines. No spelling reaches over a line break, so a text's form is its lines' forms joined."""
+    return F.transform(F.split(text, "\n", -1), canonical_line)
+
+
+def whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def digest(form: Column) -> Column:
+    """SHA-256 of a canonical form, null for an empty one."""
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
 def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     """doc_id, line (0 for the whole text), license_id, digest of every unit that is a known licence."""
-    lines = F.concat(F.array(F.col("text")), F.split("text", "\n", -1))
-    units = docs.select("doc_id", F.posexplode(lines).alias("line", "unit"))
-    units = units.where(F.col("unit") != "").select("doc_id", "line", digest(F.col("unit")).alias("digest")).where(F.col("digest").isNotNull())
-    table = licenses.select("license_id", digest(F.col("text")).alias("digest")).where(F.col("digest").isNotNull()).distinct()
+    lines = docs.select("doc_id", forms(F.col("text")).alias("forms"))
+    units = lines.select("doc_id", F.posexplode(F.concat(F.array(whole(F.col("forms"))), F.col("forms"))).alias("line", "form"))
+    units = units.select("doc_id", "line", digest(F.col("form")).alias("digest")).where(F.col("digest").isNotNull())
+    table = licenses.select("license_id", digest(whole(forms(F.col("text")))).alias("digest")).where(F.col("digest").isNotNull()).distinct()
     return units.join(table, "digest").select("doc_id", F.col("line").cast("long").alias("line"), "license_id", "digest")
 
 
 def _sql(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    text = f"regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), {quote(_COPYRIGHT)}, '\\1', 'g')"
+    text = f"regexp_replace(lower({text}), {quote(_COPYRIGHT)}, '\\1', 'g')"
     for pattern, one in SPELLINGS:
         replacement = one.replace("{1}", "\\1")
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(replacement)}, 'g')"
