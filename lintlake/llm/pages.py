@@ -28,7 +28,7 @@ from .boosting import Trees, fit
 
 #: Pages of the table that the trees are fitted on at most, chosen by a hash of the id.
 TRAIN_PAGES = 300
-TEMPLATE_PAGES = 400
+TEMPLATE_PAGES = 700
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
