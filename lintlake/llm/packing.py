@@ -12,7 +12,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 #: Distinct words whose ids a worker remembers; more only means that some are worked out again.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_200_000
 
 
 @dataclass(frozen=True)
@@ -48,48 +47,51 @@ class WordIds:
     be encoded one by one; other texts are encoded whole.
     """
 
-    _touching = re.compile(r"\s\s|[^\S \n]")
+    #: White space other than a space and a line feed.
+    _others = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.line = self.encode(["\n"])[0]
+        self.space, self.line = self.encode([" ", "\n"])
+        self.break_id = int.from_bytes(self.line, "little")
+        #: Ids of " word" under "word", and of "\nword" under "\nword".
+        self.memory: dict[str, bytes] = {"": self.space, "\n": self.line}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, memory: dict[str, bytes], words: set[str], before: str) -> None:
-        if len(memory) + len(words) > MEMORY_WORDS:
-            memory.clear()
-        new = list(words - memory.keys())
+    def _plain(self, text: str) -> bool:
+        """Whether no two white-space characters meet and none is of another kind."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in self._others))
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.memory]
+        if len(self.memory) + len(new) > MEMORY_WORDS:
+            self.memory = {"": self.space, "\n": self.line}
+            new = [w for w in words if w not in self.memory]
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
-            memory.update(zip(part, self.encode([before + w for w in part]), strict=True))
+            for heads, before, first in ((False, " ", b""), (True, "", self.line)):
+                own = [w for w in part if (w[0] == "\n") == heads]
+                if own:
+                    # one text for many words: no word holds a line break, and a break's id stands for nothing else
+                    joined = "\n".join(before + w.removeprefix("\n") for w in own)
+                    ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+                    edges = [-1, *np.flatnonzero(ids == self.break_id).tolist(), len(ids)]
+                    self.memory.update((w, first + ids[i + 1 : j].tobytes()) for w, i, j in zip(own, edges[:-1], edges[1:], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self._touching.search(t)]
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        split = [[line.split(" ") for line in texts[i].split("\n")] for i in rest]
-        heads, tails = set(), set()
-        for lines in split:
-            for words in lines:
-                heads.add(words[0])
-                tails.update(words[1:])
-        self._learn(self.heads, heads, "")
-        known = self.tails.keys()
-        self._learn(self.tails, tails if len(tails - known) + len(known) > MEMORY_WORDS else tails - known, " ")
-        tail = self.tails.__getitem__
-        for i, lines in zip(rest, split, strict=True):
-            out[i] = self.line.join([self.heads[words[0]] + b"".join(map(tail, words[1:])) for words in lines])
-        return out
+        plain = [self._plain(t) for t in texts]
+        whole = iter(self.encode([t for t, p in zip(texts, plain, strict=True) if not p]))
+        # with a line break set before it, a text is a row of words that begin with a space or a break
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if p else None for t, p in zip(texts, plain, strict=True)]
+        self._learn(set().union(*(words for words in split if words is not None)))
+        ids = self.memory.__getitem__
+        return [next(whole) if words is None else b"".join(map(ids, words))[len(self.line) :] for words in split]
 
 
 _encoders: dict[str, WordIds] = {}
