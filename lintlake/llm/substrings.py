@@ -4,7 +4,7 @@ The suffixes that matter start at windows which can repeat at all. Each window h
 first of the smallest hashes of its runs of ANCHOR words. Equal windows have equal anchors at
 equal places, so only windows whose anchor occurs twice or more go on. The anchor is the
 prefix that parts suffixes into groups; where an anchor has more than GROUP places the prefix grows to
-the whole window, and such groups are counted without being held. A group's suffix tree is
+the whole window, and such groups are counted without being held: windows found once are told apart from the rest. A group's suffix tree is
 grown from the top, level by level: a node splits by the next words, nodes of a single suffix end, and the
 nodes that reach the depth of a window are the deep internal nodes, whose suffixes are repeats.
 
@@ -115,39 +115,73 @@ def _candidates(docs: DataFrame, wanted: DataFrame, window: int, width: int) ->
     return texts.mapInArrow(place, "cls binary, text string, places array<struct<anchor: long, at: int, low: int, high: int>>")
 
 
-def _stretches(candidates: DataFrame, hot: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor, cls, at, low, words) of the groups that are held, and (hash, cls, low) of each window of the others."""
+def _marked(candidates: DataFrame, hot: DataFrame) -> DataFrame:
+    """The candidates with ``hot``: those of their anchors that have too many places to be held."""
     rows = candidates.select("cls", F.inline("places"))
-    marked = rows.join(hot.select("anchor", F.lit(True).alias("hot")), "anchor", "left").where("hot").select("cls", "anchor").distinct()
-    by_text = marked.groupBy("cls").agg(F.collect_list("anchor").alias("hot"))
-    texts = candidates.join(by_text, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
-
-    def cut(long: bool):
-        def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for run in runs(batch.column("text")):
-                    hashes = run.word_hashes()
-                    _, _, first = run.words
-                    out = []
-                    for i in range(run.n):
-                        k, words = run.first + i, hashes[first[i] : first[i + 1]]
-                        cls, places, hot_ = batch.column("cls")[k].as_py(), batch.column("places")[k].values, batch.column("hot")[k].values.to_numpy()
-                        anchor, at, low, high = (places.field(n).to_numpy(zero_copy_only=False) for n in range(4))
-                        use = np.isin(anchor, hot_) == long
-                        if long:
-                            whole = window_hashes(words, window).view(np.int64)
-                            for a, b in zip(low[use].tolist(), high[use].tolist(), strict=True):
-                                out += [(h, cls, a + d) for d, h in enumerate(whole[a : b + 1].tolist())]
-                        else:
-                            out += [(g, cls, p, a, words[a : b + window].tobytes()) for g, p, a, b in zip(anchor[use].tolist(), at[use].tolist(), low[use].tolist(), high[use].tolist(), strict=True)]
-                    names, types = (["hash", "cls", "low"], [pa.int64(), pa.binary(), pa.int32()]) if long else (["anchor", "cls", "at", "low", "words"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()])
-                    columns = zip(*out, strict=True) if out else [[]] * len(names)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-        return run_batches
-
-    held = texts.mapInArrow(cut(False), "anchor long, cls binary, at int, low int, words binary")
-    return held, texts.where(F.size("hot") > 0).mapInArrow(cut(True), "hash long, cls binary, low int")
+    pairs = rows.join(hot.select("anchor"), "anchor").select("cls", "anchor").distinct()
+    by_text = stored(pairs.groupBy("cls").agg(F.collect_list("anchor").alias("hot")), "hot-anchors")
+    return candidates.join(by_text, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+
+
+def _held(texts: DataFrame, window: int) -> DataFrame:
+    """anchor, cls, at, low, words: the stretches whose anchor's group is held."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch.column("text")):
+                hashes = run.word_hashes()
+                _, _, first = run.words
+                out = []
+                for i in range(run.n):
+                    k, words = run.first + i, hashes[first[i] : first[i + 1]]
+                    cls = batch.column("cls")[k].as_py()
+                    anchor, at, low, high, hot = _places(batch, k)
+                    use = ~hot
+                    out += [(g, cls, p, a, words[a : b + window].tobytes()) for g, p, a, b in zip(anchor[use].tolist(), at[use].tolist(), low[use].tolist(), high[use].tolist(), strict=True)]
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+                columns = zip(*out, strict=True) if out else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "cls", "at", "low", "words"])
+
+    return texts.mapInArrow(cut, "anchor long, cls binary, at int, low int, words binary")
+
+
+def _places(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Of text k: anchor, its place, first and last window of each stretch, and whether the anchor is hot."""
+    places = batch.column("places")[k].values
+    anchor, at, low, high = (places.field(n).to_numpy(zero_copy_only=False) for n in range(4))
+    return anchor, at, low, high, np.isin(anchor, batch.column("hot")[k].values.to_numpy())
+
+
+def _singles(texts: DataFrame, window: int) -> DataFrame:
+    """cls, singles: per text, the windows with a hot anchor that start nowhere else.
+
+    Windows are counted, with partial sums before the shuffle. A window that occurs once has one place, which the
+    minimum returns; places of the others are never gathered nor joined.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch.column("text")):
+                hashes = run.word_hashes()
+                _, _, first = run.words
+                out = []
+                for i in range(run.n):
+                    k = run.first + i
+                    anchor, _, low, high, hot = _places(batch, k)
+                    if hot.any():
+                        low, size = low[hot].astype(np.int64), (high.astype(np.int64) - low + 1)[hot]
+                        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                        whole = window_hashes(hashes[first[i] : first[i + 1]], window).view(np.int64)
+                        own = np.frombuffer(batch.column("cls")[k].as_py(), ">i8").astype(np.int64)
+                        out.append((np.repeat(anchor[hot], size), whole[at], at, *(np.full(len(at), x) for x in own)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "hash", "low", "a", "b"])
+
+    hot = texts.where(F.size("hot") > 0).select("cls", "text", "places", "hot")
+    windows = hot.mapInArrow(cut, "anchor long, hash long, low long, a long, b long")
+    once = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("low", "a", "b")]).where("n = 1")
+    cls = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("a", "b")]))
+    return once.groupBy("a", "b").agg(F.collect_list("low").alias("singles")).select(cls.alias("cls"), "singles")
 
 
 def tree_repeats(anchor: np.ndarray, before: np.ndarray, sizes: np.ndarray, words: np.ndarray, window: int, step: int = 9) -> np.ndarray:
@@ -228,40 +262,51 @@ def _held_repeats(held: DataFrame, window: int) -> DataFrame:
     return held.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run_groups, "cls binary, low int, high int")
 
 
-def repeated_ranges(docs: DataFrame, classes: DataFrame, window: int = WINDOW, width: int = ANCHOR, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """The candidate texts (cls, text), and per text the runs of repeated windows (cls, ranges)."""
+def repeated_windows(docs: DataFrame, classes: DataFrame, window: int = WINDOW, width: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """The candidate texts: cls, text, places, hot, ranges and singles.
+
+    Windows that repeat are those of ``ranges``, and those of the stretches with a hot anchor except ``singles``.
+    """
     found = classes.select(F.xxhash64("cls").alias("id"), F.inline("anchors"))
     counts = stored(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     lists = found.select("id", "anchor").join(counts.select("anchor"), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated"))
     wanted = classes.withColumn("id", F.xxhash64("cls")).join(lists, "id").select("cls", "doc_id", "repeated")
     candidates = stored(_candidates(docs, wanted, window, width).dropDuplicates(["cls"]), "candidates")
 
-    held, long = _stretches(candidates, counts.where(F.col("n") > group), window)
-    long = stored(long, "long-prefixes")
-    again = long.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hot = long.join(again, "hash").select("cls", "low", F.col("low").alias("high"))
-    ranges = _held_repeats(held, window).union(hot)
-    return candidates.select("cls", "text"), ranges.groupBy("cls").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    texts = _marked(candidates, counts.where(F.col("n") > group))
+    ranges = _held_repeats(_held(texts, window), window).groupBy("cls").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return texts.join(ranges, "cls", "left").join(_singles(texts, window), "cls", "left")
 
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
-    """cls, n_removed, kept (the words left, joined by a space) of texts with ranges."""
+    """cls, n_removed, kept (the words left, joined by a space) of the texts that lose words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed = [], []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
+            classes, kept, removed = [], [], []
+            for k, text in enumerate(batch.column("text")):
                 words = (text.as_py() or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                low, high = (ranges.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                np.add.at(gone, low, 1)
-                np.add.at(gone, high + window, -1)
-                out = np.cumsum(gone[:-1]) > 0
-                removed.append(int(out.sum()))
-                kept.append(b" ".join([w for w, drop in zip(words, out.tolist(), strict=True) if not drop]).decode())
-            yield pa.record_batch({"cls": batch.column("cls"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
-
-    return texts.select("cls", "text", "ranges").mapInArrow(cut, "cls binary, n_removed long, kept string")
+                # One more for each repeated window that starts, one less where it ends; windows that start once don't count.
+                starts = np.zeros(len(words) + 2, np.int64)
+                if batch.column("ranges")[k].is_valid:
+                    low, high = (batch.column("ranges")[k].values.field(n).to_numpy(zero_copy_only=False) for n in (0, 1))
+                    np.add.at(starts, low, 1)
+                    np.add.at(starts, high + 1, -1)
+                _, _, low, high, hot = _places(batch, k)
+                np.add.at(starts, low[hot], 1)
+                np.add.at(starts, high[hot] + 1, -1)
+                starts = np.cumsum(starts[:-1]) > 0
+                if batch.column("singles")[k].is_valid:
+                    starts[batch.column("singles")[k].values.to_numpy()] = False
+                sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(starts[:-1])))
+                out = sums[window:] > sums[:-window]
+                if out.any():
+                    classes.append(batch.column("cls")[k].as_py())
+                    removed.append(int(out.sum()))
+                    kept.append(b" ".join([w for w, drop in zip(words, out.tolist(), strict=True) if not drop]).decode())
+            yield pa.record_batch({"cls": pa.array(classes, pa.binary()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+
+    return texts.select("cls", "text", "places", "hot", "ranges", "singles").mapInArrow(cut, "cls binary, n_removed long, kept string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -272,8 +317,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR, group: int
     rows = stored(_described(docs, window, width), "words")
     classes = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"), F.count("*").alias("copies"))
     classes = stored(classes, "texts")
-    texts, ranges = repeated_ranges(docs, classes, window, width, group)
-    shortened = _kept(texts.join(ranges, "cls"), window)
+    shortened = _kept(repeated_windows(docs, classes, window, width, group), window)
     return rows.select("doc_id", "cls", "n_words", "whole").join(classes.select("cls", "copies"), "cls"), shortened
 
 
