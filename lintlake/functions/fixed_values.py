@@ -31,8 +31,7 @@ SKIPPED_DIRS = [
     "coverage",
 ]
 
-# Largest file read, and how many leading bytes are sniffed for NUL.
-MAX_FILE_BYTES = 5 * 1024 * 1024
+# Fixed value: how many leading bytes are sniffed for NUL.
 SNIFF_BYTES = 8192
 
 # Unicode White_Space code points.
@@ -345,8 +344,7 @@ EXPLANATIONS = [
     ),
 ]
 
-# Request cap, statuses that count as blocked, denied or invalidated.
-MAX_REQUESTS = 100
+# Statuses that count as blocked, denied or invalidated.
 BLOCKED_STATUSES = [403, 429, 503]
 INVALIDATED_STATUSES = [401, 403]
 DENIED_STATUSES = [401, 403, 302]

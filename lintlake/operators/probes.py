@@ -227,8 +227,14 @@ def issue_class() -> Column:
     )
 
 
-def request_plan(expanded: DataFrame, base_url: str = V.DEFAULT_BASE_URL) -> DataFrame:
-    """Expanded cases with method, URL, body, request cap and issue class."""
+def request_plan(
+    expanded: DataFrame, base_url: str = V.DEFAULT_BASE_URL, max_requests: int | None = None
+) -> DataFrame:
+    """Expanded cases with method, URL, body, request cap and issue class.
+
+    A case asks for as many requests as it repeats, of which ``max_requests`` are kept if given.
+    """
+    wanted = F.greatest(F.coalesce("repeat", F.lit(1)), F.lit(1))
     implied = F.when(sends_body(), F.lit("POST")).otherwise(F.lit("GET"))
     session = is_session_flow()
     target = F.when(session, F.coalesce("target", F.lit(V.DEFAULT_LOGIN_TARGET))).otherwise(F.col("target"))
@@ -240,9 +246,7 @@ def request_plan(expanded: DataFrame, base_url: str = V.DEFAULT_BASE_URL) -> Dat
             "url": url,
             "http_method": F.when(session, F.lit("POST")).otherwise(F.coalesce("method", implied)),
             "body": F.when(session, json_body(F.col("send"))).otherwise(body),
-            "request_cap": F.least(
-                F.greatest(F.coalesce("repeat", F.lit(1)), F.lit(1)), F.lit(V.MAX_REQUESTS)
-            ),
+            "request_cap": wanted if max_requests is None else F.least(wanted, F.lit(max_requests)),
             "issue_id": issue_class(),
         }
     )

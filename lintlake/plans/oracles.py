@@ -261,8 +261,7 @@ _tf = "CASE WHEN {0} THEN {1} ELSE {2} END"
 _not_leaked = f"NOT {_sql_error}"
 JUDGED = f"""
 windows AS (
-  SELECT *, min(seq) FILTER (failed) OVER (PARTITION BY case_id) AS failed_at FROM responses
-  WHERE seq <= 100),
+  SELECT *, min(seq) FILTER (failed) OVER (PARTITION BY case_id) AS failed_at FROM responses),
 first_block AS (
   SELECT case_id, min(seq) AS blocked_at FROM windows
   WHERE NOT session AND status IN (403, 429, 503) AND (failed_at IS NULL OR seq < failed_at) GROUP BY 1),
@@ -567,7 +566,7 @@ FROM cases c LEFT JOIN variants v ON v.kind = c.kind"""),
 SELECT case_id, {_METHOD} AS http_method, {_URL} AS url,
        CASE WHEN kind IN ('signup', 'error') THEN {_SEND} WHEN kind = 'purchase' THEN '{{}}'
             WHEN kind = 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'plain' ELSE '../../etc/passwd' END END AS body,
-       CASE WHEN event_id % 97 = 0 THEN 100 ELSE (event_id % 12 + 1)::INT END AS request_cap, {_ISSUE} AS issue_id
+       CASE WHEN event_id % 97 = 0 THEN 120 ELSE (event_id % 12 + 1)::INT END AS request_cap, {_ISSUE} AS issue_id
 FROM cases"""),
     "issue_classes": _with(D.SQL_RESPONSES, _variants(), body=f"""
 SELECT project, issue_id, count(*) AS cases FROM (

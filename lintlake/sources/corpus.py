@@ -56,25 +56,56 @@ def matches_ignore(path: Column, pattern: str) -> Column:
 
 
 def read_corpus(
-    spark: SparkSession, root: str, project: str | None = None, ignore: Sequence[str] = ()
+    spark: SparkSession, root: str, project: str | None = None, ignore: Sequence[str] = (),
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
-    """Files below ``root``. Size is filtered before any byte is read.
+    """Files below ``root``, of any size unless ``max_file_bytes`` is given.
 
-    With no ``project`` name the first directory below the root names the project.
+    Such a limit is applied before any byte is read. With no ``project`` name the first directory below the root names the project.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .where(F.col("length") <= V.MAX_FILE_BYTES)
-    )
-    return corpus_from_binary(raw, root, project, ignore)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return corpus_from_binary(raw, root, project, ignore, max_file_bytes)
 
 
 def corpus_from_binary(
-    raw: DataFrame, root: str, project: str | None = None, ignore: Sequence[str] = ()
+    raw: DataFrame, root: str, project: str | None = None, ignore: Sequence[str] = (),
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """``files`` from (path, length, content BINARY) rows, batch or streaming."""
+    small = raw if max_file_bytes is None else raw.where(F.col("length") <= max_file_bytes)
+    placed = _placed(small, root, project).where(F.col("rel").isNotNull())
+    picked = placed.where(_unread(F.col("rel"), F.col("length"), F.col("content"), ignore, max_file_bytes).isNull())
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return as_files(picked, F.col("project"), F.col("rel"), text)
+
+
+def skipped_files(
+    raw: DataFrame, root: str, project: str | None = None, ignore: Sequence[str] = (),
+    max_file_bytes: int | None = None,
+) -> DataFrame:
+    """project, path, bytes and reason (path, size or binary) of what ``corpus_from_binary`` leaves out."""
+    reason = _unread(F.col("rel"), F.col("length"), F.col("content"), ignore, max_file_bytes)
+    placed = _placed(raw, root, project)
+    return placed.select(
+        "project", F.col("rel").alias("path"), F.col("length").alias("bytes"), reason.alias("reason")
+    ).where(F.col("reason").isNotNull())
+
+
+def _unread(
+    path: Column, size: Column, content: Column, ignore: Sequence[str], max_file_bytes: int | None
+) -> Column:
+    """Why a file is left out, or NULL. A NUL byte among the first ones marks a file as binary."""
+    binary = F.contains(F.substring(content, 1, V.SNIFF_BYTES), F.lit(b"\x00"))
+    large = F.lit(False) if max_file_bytes is None else size > max_file_bytes
+    return (
+        F.when(is_skipped_path(path, ignore), F.lit("path"))
+        .when(large, F.lit("size"))
+        .when(binary, F.lit("binary"))
+    )
+
+
+def _placed(raw: DataFrame, root: str, project: str | None) -> DataFrame:
+    """The rows with ``project`` and ``rel``, the path below it."""
     base = re.sub(r"^file:/*", "/", root).rstrip("/")
     full = F.regexp_replace(F.col("path"), r"^file:/*", "/")
     rel = F.substr(full, F.lit(len(base) + 2))
@@ -82,15 +113,7 @@ def corpus_from_binary(
         owner, path = F.substring_index(rel, "/", 1), F.regexp_replace(rel, r"^[^/]*/", "")
     else:
         owner, path = F.lit(project), rel
-    binary = F.contains(F.substring(F.col("content"), 1, V.SNIFF_BYTES), F.lit(b"\x00"))
-    picked = (
-        raw.where(F.col("length") <= V.MAX_FILE_BYTES)
-        .withColumns({"project": owner, "rel": path})
-        .where(~is_skipped_path(F.col("rel"), ignore))
-        .where(~binary)
-    )
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return as_files(picked, F.col("project"), F.col("rel"), text)
+    return raw.withColumns({"project": owner, "rel": path})
 
 
 def corpus_from_table(
@@ -99,15 +122,14 @@ def corpus_from_table(
     path: Column,
     content: Column,
     ignore: Sequence[str] = (),
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """``files`` from a table that already holds text, with the same filters."""
-    picked = df.select(project.alias("project"), path.alias("rel"), content.alias("text")).where(
-        (F.octet_length("text") <= V.MAX_FILE_BYTES) & ~is_skipped_path(F.col("rel"), ignore)
-    )
-    binary = F.contains(
-        F.substring(F.col("text").cast("binary"), 1, V.SNIFF_BYTES), F.lit(b"\x00")
+    picked = df.select(project.alias("project"), path.alias("rel"), content.alias("text"))
+    unread = _unread(
+        F.col("rel"), F.octet_length("text"), F.col("text").cast("binary"), ignore, max_file_bytes
     )
-    return as_files(picked.where(~binary), F.col("project"), F.col("rel"), F.col("text"))
+    return as_files(picked.where(F.col("rel").isNotNull() & F.col("text").isNotNull() & unread.isNull()), F.col("project"), F.col("rel"), F.col("text"))
 
 
 def as_files(df: DataFrame, project: Column, path: Column, content: Column) -> DataFrame:

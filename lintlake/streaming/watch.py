@@ -21,7 +21,8 @@ _SEEN = "project STRING, path STRING, lines INT, batch_id BIGINT"
 
 
 def stream_corpus(
-    spark: SparkSession, root: str, project: str | None = None, ignore: Sequence[str] = ()
+    spark: SparkSession, root: str, project: str | None = None, ignore: Sequence[str] = (),
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """``files`` as they appear below a folder."""
     raw = (
@@ -30,7 +31,7 @@ def stream_corpus(
         .option("recursiveFileLookup", True)
         .load(root)
     )
-    return corpus_from_binary(raw, root, project, ignore)
+    return corpus_from_binary(raw, root, project, ignore, max_file_bytes)
 
 
 def scan_stream(

@@ -29,8 +29,8 @@ def request(case, seq, status, body="", error=None):
     return (case, "request", seq, status, None, body, error)
 
 
-def judge(spark, case_table, *rows, **kw):
-    plans = PR.request_plan(PR.expand_cases(case_table))
+def judge(spark, case_table, *rows, max_requests=None, **kw):
+    plans = PR.request_plan(PR.expand_cases(case_table), max_requests=max_requests)
     out = RE.judge_cases(plans, responses(spark, *rows), **kw)
     return {r.case_id: r for r in out.collect()}
 
@@ -113,7 +113,9 @@ def test_request_shape(spark):
     assert got["get"] == ("GET", base + "/t", None, 1)
     assert got["post"] == ("POST", base + "/t", '{"a":"b"}', 1)
     assert got["raw"] == ("PUT", "http://h:81/z", "x", 1)
-    assert got["many"][3] == 100 and got["zero"][3] == 1
+    assert got["many"][3] == 500 and got["zero"][3] == 1
+    capped = PR.request_plan(PR.expand_cases(table), max_requests=100).where("variant_id = 'many'").first()
+    assert capped.request_cap == 100
     assert got["login"] == ("POST", base + "/login", "{}", 1)
     assert got["bad"][1] is None
 
@@ -157,7 +159,9 @@ def test_rate_limits(spark):
     assert got["open"].verdict == "vulnerable"
     assert got["open"].checks[0].detail == "no rate limiting after 20 requests"
     assert got["late"].verdict == "secure"
-    assert got["capped"].checks[0].detail == "no rate limiting after 100 requests"
+    assert got["capped"].checks[0].detail == "blocked at request #101 (limit 5)"
+    capped = judge(spark, table, *rows, max_requests=100)["capped"]
+    assert capped.checks[0].detail == "no rate limiting after 100 requests"
     assert judge(spark, table, *rows, strict_limit=True)["late"].verdict == "vulnerable"
 
 
