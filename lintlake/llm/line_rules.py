@@ -2,8 +2,8 @@
 
 A host is the ``source`` column; a null host is the host ''. Null and empty texts have no words
 and fail the base rule. A line is compared by its words in lower case; lines without a word don't
-count. Equal texts of one host count as one document, so copies don't make each other's lines
-frequent. Repeated rows get the same verdict, ties don't occur.
+count. Every document counts, copies of a text too; rows that repeat both id and text are one
+document. Repeated rows get the same verdict, ties don't occur.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from .arrowtext import Run, runs, span_hashes, window_hashes
 from .tables import free_name, stored
 
-#: A line is above the limit in more than this many documents of its host,
-MIN_DOCUMENTS = 100
-#: and in more than this share of them.
-MAX_SHARE = 0.01
+#: A line is above the limit in more than this many documents of its host, however many it has,
+MIN_DOCUMENTS = 10
+#: or in more than this share of them, where the host is small,
+MAX_SHARE = 0.1
+#: but never in fewer documents than this.
+LEAST_DOCUMENTS = 3
 #: A document is depleted when less than this share of its words is left.
 MIN_LEFT = 0.3
 
@@ -116,13 +118,14 @@ def line_rows(rows: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line, documents: lines that more distinct texts of a host hold than the limits allow."""
-    totals = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    counts = line_rows(rows).groupBy("host", "line").agg(F.count("*").alias("documents"))
+    """host, line, documents: lines that more documents of a host hold than one of the limits allows."""
+    totals = rows.select("host", "doc_id", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    held = rows.select("host", "doc_id", "content", F.explode("lines.line").alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("documents"))
     return (
-        counts.where(F.col("documents") > min_documents)
+        counts.where(F.col("documents") >= LEAST_DOCUMENTS)
         .join(totals, "host")
-        .where(F.col("documents") > F.col("total") * max_share)
+        .where((F.col("documents") > min_documents) | (F.col("documents") > F.col("total") * max_share))
         .select("host", "line", "documents")
     )
 

@@ -80,6 +80,25 @@ def test_frequent_lines_deplete(spark):
     assert cleaned[3] == "own words 3" and cleaned[99] == rows[-1][1]
 
 
+def test_default_limits_act_at_every_host_size(spark):
+    """A small host, a large one, and copies of one text, with the production limits."""
+    schema = "doc_id long, text string, source string"
+    menu = "\n".join(f"home{k} news{k} about{k} contact{k} link{k} {k}" for k in range(12))
+    own = lambda i: " ".join(f"d{i}w{k}" for k in range(10))
+    rows = [(i, f"{menu}\n{own(i)}", "small") for i in range(5)] + [(i, f"{menu}\n{own(i)}", "large") for i in range(100, 111)]
+    rows += [(i, " ".join(f"d{i}w{k}" for k in range(60)), "large") for i in range(200, 1400)]
+    rows += [(2000 + i, "\n".join(own(k) for k in range(5000, 5008)), "copies") for i in range(11)]
+    rows += [(3000 + i, "\n".join(own(k) for k in range(6000 + 8 * (i // 2), 6008 + 8 * (i // 2))), "pairs") for i in range(4)]
+    rows += [(4000, f"{menu}\n{own(1)}", "repeated")] * 12
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r for r in line_rules.judge(docs).collect()}
+    assert all(got[i].n_removed == 72 and not got[i].kept for i in [*range(5), *range(100, 111)])
+    assert all(got[i].n_removed == 0 and got[i].kept for i in [*range(200, 1400), *range(3000, 3004), 4000])
+    assert all(got[i].n_removed == 80 and not got[i].kept for i in range(2000, 2011))
+    cleaned = {r.doc_id: r.text for r in line_rules.without_frequent_lines(docs).collect()}
+    assert cleaned[3] == own(3) and cleaned[105] == own(105) and cleaned[3001] == cleaned[3000] != ""
+
+
 def test_near_duplicates(docs, rows, empty):
     got = near_duplicates.near_duplicates(docs).collect()
     sets = []
