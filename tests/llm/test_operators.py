@@ -250,6 +250,17 @@ def test_personal_data(docs, rows, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_personal_data_in_other_dress(spark):
+    """Formats that no rule has, and look-alikes; the table alone has one positive."""
+    hidden = ["974-555-3436", "(974) 555-3436", "974.555.3436", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "jane.doe at example dot org", "jane [at] example [dot] com", "joe(at)example.net"]
+    others = ["2024-01-15", "15.01.2024", "978-3-16-148410-0", "1990-2000", "123456789012", "GB83 WEST 1234 5698 7654 32", "look at example.com"]
+    texts = [f"words before {x}, words after" for x in hidden + others] + ["mail a@b.co"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in private_data.spans(frame).collect() if r.kind.startswith("model_")}
+    assert got == dict(enumerate(hidden))
+    assert {r.doc_id: r.text for r in private_data.redact(frame).collect()}[1] == "words before [NUMBER], words after"
+
+
 def test_licenses(spark, docs, rows, empty, tmp_path):
     found = licenses.scan(docs, licenses.known(spark)).collect()
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
