@@ -226,6 +226,18 @@ def test_secrets(docs, rows, empty):
     assert secrets.findings(empty).count() == 0
 
 
+def test_secret_positives_from_anywhere(spark):
+    """One finding among more documents than the sample takes, and a threshold that keeps what it promises."""
+    plain = [(i, f"an identifier some-ordinary-compound-{'abcdefghij'[i % 10]}-word here") for i in range(300)]
+    for at in (7, 150, 299):
+        rows = list(plain)
+        rows[at] = (at, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" here')
+        network = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"), 6)
+        assert network is not None and network.threshold < 1
+    low = np.linspace(0.2, 0.8, 100)
+    assert (low >= secrets.recall_threshold(low)).mean() >= secrets.RECALL
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
 
