@@ -238,6 +238,25 @@ def test_secret_positives_from_anywhere(spark):
     assert (low >= secrets.recall_threshold(low)).mean() >= secrets.RECALL
 
 
+def test_secrets_inside_long_runs_and_short_ones(spark):
+    """A key in the middle of a path, a short value behind an unknown name, and the scores by table look-up."""
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghkmnpqrstuvwxyz"[k] for k in rng.integers(0, 54, n))
+    prose = lambda: " ".join("abcdefghijklmnopqrstuvwxyz"[k] * 2 + "aring" * int(rng.integers(0, 3)) for k in rng.integers(0, 26, 20))
+    rows = [(i, f'{prose()} token = "{rng.bytes(20).hex()}" {prose()}') for i in range(60)] + [(100 + i, prose()) for i in range(60)]
+    path = "/some/ordinary/folder/with/many/words/and/" + key(40) + "/more/ordinary/words/behind/it/until/the/end/of/it"
+    texts = [f"see {path} here", "see " + path.replace(path[42:82], "other/words/that/are/no/key/but/ordinary") + " here"]
+    texts += [f"{prose()} pwd: {key(11)}" for _ in range(40)]
+    network = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.scan(docs, network).collect()}
+    assert got[0] == [("model", 4, 4 + len(path))] and got[1] == []
+    assert sum(("model", len(t) - 11, len(t)) in got[i] for i, t in enumerate(texts) if i > 1) >= 8
+    assert [secrets.pieces(0, n) for n in (8, 40, 41, 100)] == [[(0, 8)], [(0, 40)], [(0, 40), (1, 41)], [(0, 40), (20, 60), (40, 80), (60, 100)]]
+    frames = [secrets.window(t, a, b) for t in texts for run in secrets.candidates(t) for a, b in secrets.pieces(*run)]
+    assert np.allclose(network.probability(frames), network.forward(secrets.codes(frames))[-1], atol=1e-4)
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
 
