@@ -10,7 +10,10 @@ They are trained on a bounded sample of the given pages, labelled where these ma
 pages put together here from templates with menus, sidebars, notices, adverts, forms and comments.
 
 Null and empty pages give an empty text. Character references are decoded, white space inside a block
-becomes one space, blocks are joined by a line break. Unclosed and stray tags are tolerated.
+becomes one space, blocks are joined by a line break. Unclosed and stray tags are tolerated: only where HTML
+reads plain text to its end (script, style, textarea, title, iframe) does an unclosed tag take the rest of the
+page. noscript, template and object are nodes that the trees judge; controls and drawings (svg, select, button, video,
+audio, canvas) are left out with what they nest.
 """
 
 from __future__ import annotations
@@ -32,13 +35,19 @@ TEMPLATE_PAGES = 700
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "button", "title", "object", "video", "audio", "canvas"}
+#: Plain text up to the closing tag, or to the end of the page.
+_TEXT = {"script", "style", "textarea", "title", "iframe"}
+#: Left out with all they hold if they are closed; a tag that isn't is ignored.
+_CONTROLS = {"svg", "select", "button", "video", "audio", "canvas"}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _TEXT}
+_EDGES = {name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<text>{'|'.join(sorted(_TEXT))})(?=[\s/>]).*?(?:</(?P=text)(?=[\s/>])|\Z)|<(?P<close>/?){name}(?=[\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for name in _CONTROLS}
 _BLOCKS = {
     "html", "head", "body", "div", "p", "article", "main", "section", "header", "footer", "nav", "aside", "form", "fieldset", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead",
     "tbody", "tr", "td", "th", "caption", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "hr", "center", "menu",
+    "noscript", "template", "object",
 }
 _VOID = {"hr"}
-_CLOSES_P = _BLOCKS - {"td", "th", "tr", "tbody", "thead"}
+_CLOSES_P = _BLOCKS - {"td", "th", "tr", "tbody", "thead", "noscript", "template", "object"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _TAGS = [
     {"div"}, {"p"}, {"article"}, {"main"}, {"section"}, {"header"}, {"footer"}, {"nav", "menu"}, {"aside"}, {"form", "fieldset"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"},
@@ -58,6 +67,19 @@ _OUT_COLUMNS = [k for k, g in enumerate(_TAGS) if g & {"nav", "aside", "footer",
 _IN_COLUMNS = [k for k, g in enumerate(_TAGS) if g & {"article", "main"}] + [len(_TAGS) + 8]
 
 
+def _ends(text: str, name: str) -> dict[int, int]:
+    """Where each closed tag of a kind that opens in a page ends, by the end of its opening tag."""
+    out, opened = {}, []
+    for m in _EDGES[name].finditer(text):
+        if m["rest"] is None or m["rest"].endswith("/"):
+            continue
+        if not m["close"]:
+            opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 class Page:
     """The block nodes of a page in order, and its text blocks with the node each belongs to."""
 
@@ -69,6 +91,7 @@ class Page:
         self.owners: list[int] = []
         self.links: list[int] = []
         stack, held, linked, in_link = [0], [], 0, 0
+        ends: dict[str, dict[int, int]] = {}
         at, end = 0, len(text)
         match = _TOKEN.match
 
@@ -101,11 +124,17 @@ class Page:
             if name is None:
                 continue
             name, closing = name.lower(), m[1]
-            if name in _RAW:
+            if name in _TEXT:
                 if not closing and not m[3].endswith("/"):
-                    stop = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+                    stop = _ENDS[name].search(text, at)
                     at = stop.end() if stop else end
                 held.append(" ")
+            elif name in _CONTROLS:
+                if not closing:
+                    if name not in ends:
+                        ends[name] = _ends(text, name)
+                    at = ends[name].get(at, at)
+                held.append(" ")
             elif name == "a":
                 in_link = 0 if closing else 1
             elif name not in _BLOCKS:

@@ -326,6 +326,25 @@ def test_pages(spark):
     assert got[40].text == "" and got[41].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("name", ["button", "select", "svg", "video", "audio", "canvas", "object", "noscript", "template"])
+def test_unclosed_tags_keep_what_follows(name):
+    article = "<article><p>One text.</p><p>Two text.</p></article>"
+    blocks = lambda h: pages.Page(h).blocks
+    assert blocks(f"<body><{name} class=x>{article}</body>")[-2:] == ["One text.", "Two text."]
+    assert blocks(f"<body><{name}>a<{name}>b</{name}>c</{name}>{article}</body>")[-2:] == ["One text.", "Two text."]
+    assert blocks(f"<body><{name}>{article}<script>'</{name}>'</script></body>")[-2:] == ["One text.", "Two text."]
+    kept = blocks(f"<body><{name}><{name}>b</{name}>c</{name}><{name}>{article}</body>")
+    assert kept[-2:] == ["One text.", "Two text."] and ("c" in kept) == (name in ("object", "noscript", "template"))
+
+
+def test_text_inside_noscript_is_judged(spark):
+    body = "".join(f"<p>This is sentence {k} of the article, and it goes on for some more words.</p>" for k in range(6))
+    html_ = f'<html><body><nav class="menu"><ul><li><a href="/">home</a></li></ul></nav><button>open<article>{body}<noscript><p>A picture of the harbour, taken in the early evening.</p></noscript></article></body></html>'
+    rows = spark.createDataFrame([(1, "u", html_)], "page_id long, url string, html string")
+    text = pages.extract(rows).collect()[0].text
+    assert text.count("of the article") == 6 and "harbour" in text and "home" not in text
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(0)
     for _ in range(50):
