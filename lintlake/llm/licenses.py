@@ -8,6 +8,8 @@ DataFrame functions; ``oracle`` is the same in SQL.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
+#: One file for each further licence whose full text is known.
+_TEXTS = Path(__file__).parent / "license_texts"
+_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+
 _NAMES = {
     "MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3",
     "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3", "MPL-2.0": "Mozilla Public License, version 2.0",
@@ -39,11 +45,17 @@ _PHRASES = ["{}", "Licensed under {}", "Licensed under the {}", "Released under
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(license_id, text): usual notices of each licence, and full texts of the short ones."""
+    """(license_id, text): usual notices of each licence, and full texts of those that have one here."""
     full = [
         ("MIT", _MIT), ("MIT", "MIT License\n\nCopyright (c) <year> <holder>\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
         ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_REST}"), ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_REST}"),
     ]
+    texts = {f.stem: f.read_text("utf-8") for f in sorted(_TEXTS.glob("*.txt"))}
+    texts["BSD-3-Clause"] = texts["BSD-2-Clause"].replace("THIS SOFTWARE IS", _ENDORSEMENT + "THIS SOFTWARE IS", 1)
+    full += texts.items()
+    full += [(i, f"{_NAMES[i]}\n\n{texts[i]}") for i in ("BSD-2-Clause", "BSD-3-Clause")]
+    end = "END OF TERMS AND CONDITIONS"
+    full.append(("Apache-2.0", texts["Apache-2.0"].partition(end)[0] + end))
     notices = [(i, p.format(n)) for i, name in _NAMES.items() for p in _PHRASES for n in (name, i)]
     return full + notices
 

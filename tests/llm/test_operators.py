@@ -302,6 +302,21 @@ def test_licenses(spark, docs, rows, empty, tmp_path):
     assert licenses.scan(empty, licenses.known(spark)).count() == 0
 
 
+def test_full_license_texts(spark, tmp_path):
+    """Whole texts of longer licences, as the query and its SQL see them."""
+    full = {i: t for i, t in licenses.known_texts() if len(t) > 1000 and i not in ("MIT", "ISC", "0BSD")}
+    assert set(full) == {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    names = sorted(full)
+    texts = [full[i] for i in names] + [full["BSD-3-Clause"].replace("(c) <year> <owner>", "2024 Some Body"), full["GPL-3.0"] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(docs, licenses.known(spark)).collect()
+    assert {(r.doc_id, r.license_id) for r in found if r.line == 0} == {*enumerate(names), (len(names), "BSD-3-Clause")}
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(con.execute(licenses.oracle()).fetchall())
+
+
 def test_quality_held_out(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
