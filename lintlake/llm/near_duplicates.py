@@ -5,8 +5,8 @@ has SYMBOLS MinHash values of 16 bits. It is cut into CHUNKS chunks; RELAXED of
 differing symbol and the others none. If two signatures differ in at most
 CHUNKS + RELAXED - 1 = DISTANCE symbols, some chunk of theirs differs by no more than it allows
 (pigeonhole), and the enumerated variants of that chunk meet under one key. Two sets of similarity
-0.85 stay within the distance with a probability above 0.99999; every pair found is confirmed on the
-full sets, so no false link remains.
+0.85 stay within the distance with a probability above 0.99999; for a lower similarity more chunks are relaxed
+until that holds as well. Every pair found is confirmed on the full sets, so no false link remains.
 
 Equal sets form a class first. A bucket gives a minimum spanning forest of the pairs within the distance,
 so what comes out grows with the bucket and not with its square; all links lie inside the clusters which
@@ -21,6 +21,7 @@ with a null id take part; a component's id is the smallest id in it, or null if
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SYMBOLS = 64
 CHUNKS = 16
 RELAXED = 8
 DISTANCE = CHUNKS + RELAXED - 1
+#: A pair at the similarity asked for lies beyond the distance with at most this probability.
+MISSED = 1e-5
 #: Classes of a bucket, and full sets of a cluster, that one task compares at once.
 BLOCK = 4096
 SET_BLOCK = 768
@@ -97,13 +100,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id long, n_shingles long, cls {CLASS}, signature binary")
 
 
-def chunk_keys(marks: np.ndarray) -> np.ndarray:
+def missed(percent: int, distance: int) -> float:
+    """Probability that two sets of a similarity differ in more symbols than the distance."""
+    same = percent / 100
+    return sum(comb(SYMBOLS, k) * (1 - same) ** k * same ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+
+
+def relaxed(percent: int) -> int:
+    """How many chunks are relaxed for a similarity: RELAXED, or as many more as MISSED asks for."""
+    return next((n for n in range(RELAXED, CHUNKS) if missed(percent, CHUNKS + n - 1) <= MISSED), CHUNKS)
+
+
+def chunk_keys(marks: np.ndarray, relaxed: int = RELAXED) -> np.ndarray:
     """Keys of signatures (rows of SYMBOLS values): one for each variant of each chunk that is allowed."""
     wide = marks.astype(np.uint64).reshape(len(marks), CHUNKS, _WIDTH)
     whole = (wide << (np.arange(_WIDTH, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64)
     keys = []
     for chunk in range(CHUNKS):
-        left_out = range(_WIDTH) if chunk >= CHUNKS - RELAXED else [None]
+        left_out = range(_WIDTH) if chunk >= CHUNKS - relaxed else [None]
         for symbol in left_out:
             value = whole[:, chunk]
             if symbol is not None:
@@ -112,13 +126,13 @@ def chunk_keys(marks: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def keyed(classes: DataFrame, relaxed: int = RELAXED) -> DataFrame:
     """key, cls: every class under each of its keys."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                keys = chunk_keys(_marks(part.column("signature")))
+                keys = chunk_keys(_marks(part.column("signature")), relaxed)
                 a, b = (part.column("cls").field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 n = keys.shape[1]
                 yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), "cls": _structs(np.repeat(a, n), np.repeat(b, n))})
@@ -198,11 +212,12 @@ def _spanning(n: int, distances) -> list[tuple[int, int]]:
 
 
 def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """x, y, distance: a minimum spanning forest of each bucket over the pairs within DISTANCE whose sizes allow a link.
+    """x, y, distance: a minimum spanning forest of each bucket over the pairs within the distance whose sizes allow a link.
 
     Linear in the bucket, it holds each class's nearest neighbour and connects all pairs of the bucket
     that could be links. Distances are of four bits of each symbol, so they never overstate.
     """
+    distance = CHUNKS + relaxed(percent) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches, ["key", "i", "j"]):
@@ -219,7 +234,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
 
                 def distances(i: int, own=own, sizes=sizes) -> np.ndarray:
                     far = _nibbles(own ^ own[i]).sum(axis=1)
-                    fits = (far <= DISTANCE) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+                    fits = (far <= distance) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
                     return np.where(fits, far, 255).astype(np.uint8)
 
                 pairs = np.array(_spanning(len(own), distances), np.int64).reshape(-1, 2) + edges[k]
@@ -230,7 +245,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(p), 8192):
                 far[at : at + 8192] = (marks[p[at : at + 8192]] != marks[q[at : at + 8192]]).sum(axis=1)
             # an edge of a forest stays if its sketches are near, as it may connect two others
-            keep = _nibbles(sketch[p] ^ sketch[q]).sum(axis=1) <= DISTANCE
+            keep = _nibbles(sketch[p] ^ sketch[q]).sum(axis=1) <= distance
             keep &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
             p, q, far = p[keep], q[keep], far[keep]
             if len(p):
@@ -345,7 +360,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """x, y: links that connect the classes exactly as all pairs at or above the similarity would."""
-    keys = keyed(classes)
+    keys = keyed(classes, relaxed(percent))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = shared.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     members = keys.join(shared, "key").join(classes.select("cls", "n_shingles", "signature"), "cls")

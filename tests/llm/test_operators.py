@@ -137,6 +137,20 @@ def test_chunk_keys_meet_within_the_distance():
         assert set(x.tolist()) & set(y.tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_the_distance_follows_the_similarity(percent):
+    chunks = near_duplicates.relaxed(percent)
+    distance = near_duplicates.CHUNKS + chunks - 1
+    assert near_duplicates.missed(percent, distance) <= 1e-5
+    rng = np.random.default_rng(percent)
+    for _ in range(200):
+        a = rng.integers(0, 65536, near_duplicates.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(near_duplicates.SYMBOLS, distance, replace=False)] ^= 1
+        x, y = near_duplicates.chunk_keys(np.stack([a, b]), chunks)
+        assert set(x.tolist()) & set(y.tolist())
+
+
 def test_substrings(docs, rows, empty):
     for group in (substrings.GROUP, 2):
         table, shortened = substrings.dedup(docs, group=group)
