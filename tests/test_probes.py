@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,9 +268,43 @@ def test_user_rules(spark):
         ("only sink", 4, "HIGH", "only sink")]
 
 
-def test_large_rule_table_gives_the_same_rows(spark):
-    rules = [("a", ["select", "ID="], None, [], "low", None), ("b", [], "query(", ["s"], "high", "m"), ("c", ["x"], None, [], "info", None),
-             ("d", ["%s"], None, [], "info", None), ("e", [""], None, [], "info", None), ("f", ["é", "ret"], None, [], "info", None)]
-    lines = DAO + ["é ret", ""]
-    small, large = user_hits(spark, rules, lines), user_hits(spark, rules, lines, max_broadcast=1)
-    assert small == large and len(small) > 10
+def holds(low, rule):
+    """A rule's clauses on a lower-cased line, its words for input and placeholders aside."""
+    _, needles, sink, without, _, _ = rule
+    return (needles or sink is not None) and all(n.lower() in low for n in needles) and (sink is None or sink.lower() in low)
+
+
+def test_odd_rules(spark):
+    rules = [("a", ["select", "ID="], None, [], "low", None), ("c", ["x"], None, [], "info", None), ("c", ["x"], None, [], "info", None),
+             ("d", ["%s"], None, [], "info", None), ("e", [""], None, [], "info", None), ("f", ["é", "ret"], None, [], "info", None),
+             ("g", ["🙂]"], None, [], "info", None), ("h", ["\\", "-]"], None, [], "info", None), ("i", ["", "return"], None, [], "info", None),
+             ("none", None, None, None, None, None)]
+    lines = DAO + ["é ret", "", "a🙂]b", "x \\ [a-] ^", "X" * 5000 + "é" * 3 + "ret"]
+    want = sorted((r[0], i, "INFO", r[0]) for r in rules[:-1] for i, t in enumerate(lines, 1) if not t.strip().startswith("#") and holds(t.lower(), r))
+    assert user_hits(spark, rules, lines) == want and len(want) > 20
+    assert user_hits(spark, [], lines) == [] or user_hits(spark, rules[-1:], lines) == []
+    assert user_hits(spark, rules[:1], [""]) == []
+
+
+def test_any_number_of_rules_is_one_plan(spark):
+    """5 and 5,000 rules give the same operators, no nested loop, and what trying each rule on each line gives."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh_(.", k=rng.randrange(2, 9))) for _ in range(4000)]
+    rules = [(f"r{i}", rng.sample(words, rng.choice([1, 1, 2])), None, [], "low", None) for i in range(5000)]
+    lines = [" ".join(rng.choices(words, k=8)) for _ in range(60)] + ["plain text of no rule"] * 20
+    table = spark.createDataFrame([("p", "f", i, t) for i, t in enumerate(lines)], "project STRING, path STRING, line_no INT, text STRING")
+    plans = []
+    for some in (rules[:5], rules):
+        out = UR.user_rule_findings(table, spark.createDataFrame(some, LINE_RULES))
+        got = sorted((r.rule, r.line_no) for r in out.collect())
+        assert got == sorted((r[0], i) for r in some for i, t in enumerate(lines) if holds(t, r))
+        shape = out._jdf.queryExecution().sparkPlan().toString()
+        assert "NestedLoop" not in shape and "Cartesian" not in shape
+        plans.append(re.findall(r"[A-Z][a-zA-Z]+Join|Generate|Filter|HashAggregate|SortAggregate", shape))
+    assert plans[0] == plans[1]
+
+
+def test_a_rule_is_indexed_under_its_rarest_piece(spark):
+    rules = spark.createDataFrame([("a", ["return qzx"], None, [], "low", None), ("b", ["re"], "turn", [], "low", None)], LINE_RULES)
+    counts = spark.createDataFrame([("ret", 9), ("etu", 9), ("tur", 9), ("urn", 9), ("re", 3), ("rn ", 2), ("n q", 1)], "piece STRING, seen BIGINT")
+    assert {r.rule: r.piece for r in UR.rule_index(rules, counts).collect()} == {"a": " qz", "b": "re"}
