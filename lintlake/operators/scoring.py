@@ -45,22 +45,31 @@ def severity_counts(findings: DataFrame, by: list[str] = ["project"]) -> DataFra
     return findings.groupBy(*by).agg(*counts, F.count("*").alias("total_findings"))
 
 
-def project_scores(rows: DataFrame) -> DataFrame:
+def project_scores(rows: DataFrame, sign: Column | None = None) -> DataFrame:
     """Counts, 0-100 score, blocking flag and corpus size for every project.
 
     Takes ``scan_rows``, so a project without findings keeps its row (score 100) and the
-    corpus is read once. A project that holds most rows is reduced before the shuffle.
+    corpus is read once. A project that holds most rows is reduced before the shuffle. With ``sign`` the rows
+    are differences between scans, each added or taken back.
     """
     severity = F.col("severity")
-    counts = [F.count_if(severity == s).alias(s.lower()) for s, _, _ in V.SEVERITIES]
+
+    def count(condition: Column) -> Column:
+        if sign is None:
+            return F.count_if(condition)
+        return F.coalesce(F.sum(F.when(condition, sign)), F.lit(0)).cast("bigint")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value if sign is None else value * sign), F.lit(0))
+
     return (
         rows.groupBy("project")
         .agg(
-            F.count("lines").alias("files"),
-            F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines_of_code"),
-            *counts,
-            F.count("severity").alias("total_findings"),
-            F.coalesce(F.sum(severity_weight(severity)), F.lit(0)).alias("deduction"),
+            count(F.col("lines").isNotNull()).alias("files"),
+            total(F.col("lines")).cast("bigint").alias("lines_of_code"),
+            *[count(severity == s).alias(s.lower()) for s, _, _ in V.SEVERITIES],
+            count(severity.isNotNull()).alias("total_findings"),
+            total(severity_weight(severity)).alias("deduction"),
         )
         .withColumn("security_score", F.greatest(F.lit(0), 100 - F.col("deduction")).cast("int"))
         .withColumn("blocking", (F.col("critical") + F.col("high")) > 0)

@@ -115,6 +115,18 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(docs, F.col("source"), doc_path(doc_id), content)
 
 
+def arriving_documents(spark: SparkSession, sf_dir: str, arrival: int, arrivals: int) -> DataFrame:
+    """Every document that arrives at a time: its share in its own text, and a draft of the next share.
+
+    A draft holds two code lines more. The next arrival brings the same path again, without them.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    doc_id = F.col("doc_id")
+    turn = F.pmod(doc_id, F.lit(arrivals))
+    draft = docs.withColumn("text", F.concat_ws("\n", _code_line(doc_id, 0), "text", _code_line(doc_id, 1)))
+    return docs.where(turn == arrival).unionByName(draft.where(turn == arrival + 1))
+
+
 # Extension -> language, for the extensions used here.
 SQL_LANGUAGE = (
     "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'rs' THEN 'Rust' "

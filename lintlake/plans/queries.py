@@ -518,26 +518,34 @@ def _stream(spark, d, name) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
-def _stream_files(spark, d) -> DataFrame:
-    docs = _stream(spark, d, "documents")
+ARRIVALS = 3
+
+
+def _watched(spark, d) -> str:
+    """Scan documents that arrive in three batches, of which the later ones rewrite files of the earlier ones."""
+    root, out, checkpoint = (fresh_dir(spark, f"watch-{n}") for n in ("in", "out", "checkpoint"))
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return CP.corpus_from_table(docs, F.col("source"), path, F.col("text"))
+    for arrival in range(ARRIVALS):
+        docs = D.arriving_documents(spark, d, arrival, ARRIVALS)
+        docs.write.mode("append").parquet(root)
+        stream = spark.readStream.schema(docs.schema).parquet(root)
+        files = CP.corpus_from_table(stream, F.col("source"), path, F.col("text"))
+        WA.scan_stream(files, out, checkpoint, load_config=lambda: SCAN)
+    return out
 
 
 @query
 def stream_scan(spark, d):
-    """The scan repeated per batch of arriving files; same findings as one batch."""
-    out = fresh_dir(spark, "scan")
-    WA.scan_stream(
-        _stream_files(spark, d), out, fresh_dir(spark, "scan-checkpoint"), load_config=lambda: SCAN
-    ).awaitTermination()
+    """The scan repeated per batch of arriving and rewritten files; same findings as one batch of the newest."""
+    out = _watched(spark, d)
     return WA.current_findings(spark, out).select("project", "path", "line_no", "rule", "message")
 
 
 @query
 def stream_score(spark, d):
-    rows = RU.scan_rows(_stream_files(spark, d), SCAN)
-    scores = WA.live_scores(rows, SC.severity_weight(F.col("severity")))
+    """Scores that follow the differences of three batches."""
+    changes = WA.read_changes(spark, _watched(spark, d))
+    scores = WA.live_scores(changes, SC.severity_weight(F.col("severity")), F.col("sign"))
     out = fresh_dir(spark, "score")
     SI.run_to_table(scores, out, fresh_dir(spark, "score-checkpoint"), mode="update").awaitTermination()
     return SI.newest_rows(spark.read.parquet(out), ["project"])

@@ -1,4 +1,4 @@
-"""Checks of size before a table is sent to every task."""
+"""Splits for small inputs, and expressions that are worked out once."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def at_most(df: DataFrame, rows: int, max_bytes: int = 32 * 1024 * 1024) -> bool:
-    """Whether a table is within both bounds; reads no more than one row beyond."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    return seen["n"] <= rows and (seen["b"] or 0) <= max_bytes
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a table that arrives in fewer pieces than there are cores.
 

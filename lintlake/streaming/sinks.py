@@ -35,8 +35,9 @@ def run_each_batch(
     step: Callable[[DataFrame, int], None],
     checkpoint: str,
     interval: str | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(step), checkpoint, interval)
+    return _start(stream.writeStream.outputMode(mode).foreachBatch(step), checkpoint, interval)
 
 
 def newest_rows(table: DataFrame, keys: list[str]) -> DataFrame:

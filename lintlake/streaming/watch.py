@@ -1,30 +1,51 @@
-"""Repeat the scan as files arrive, and find what changed between listings."""
+"""Repeat the scan as files arrive, and find what changed between listings.
+
+A scan of arriving files goes through three steps, each a stream of its own with its own checkpoint: the batch's files
+are scanned with the configuration of the moment; per path, the state of the newest scan turns that into
+differences; per project, the differences add up to the score. No step reads what an earlier batch has written but
+for its own state of the keys that are in the batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as V
 from ..operators.changes import listing_changes
 from ..operators.history import make_snapshots
 from ..operators.rules import ScanConfig, scan_rows
-from ..operators.scoring import project_scores, with_files
+from ..operators.scoring import project_scores
 from ..schemas import FINDING_COLUMNS, FINDINGS
 from ..sources.corpus import corpus_from_binary
-from .sinks import run_each_batch, write_batch
+from .sinks import run_each_batch, run_to_table, write_batch
+
+#: Rows of a scan as they are handed on: findings, and a row without a rule for each file.
+SCANNED = f"{FINDINGS}, lines INT"
+#: The same rows with 1 where a scan added them and -1 where it took them back.
+CHANGES = f"{SCANNED}, sign INT"
+_PACKED = "project STRING, path STRING, row STRING"
+
 
-_SEEN = "project STRING, path STRING, lines INT, batch_id BIGINT"
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+_HELD = ", ".join(part for part in SCANNED.split(", ") if part.split()[0] not in ("project", "path"))
+_HELD_COLUMNS = _names(_HELD)
 
 
 def stream_corpus(
     spark: SparkSession, root: str, project: str | None = None, ignore: Sequence[str] = (),
     max_file_bytes: int | None = None,
 ) -> DataFrame:
-    """``files`` as they appear below a folder."""
+    """``files`` as they appear below a folder. A path is read once; rewritten files have to arrive under another folder."""
     raw = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
@@ -34,6 +55,64 @@ def stream_corpus(
     return corpus_from_binary(raw, root, project, ignore, max_file_bytes)
 
 
+def path_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows that a path's newest scan adds to the one before, and those it takes back.
+
+    The state is the newest scan's rows: as many as the file has findings, and one for the file. Of several scans
+    of a path that arrive together the newest counts, and a scan that arrives again changes nothing.
+    """
+    came = [pair for f in frames for pair in zip(f["batch_id"].tolist(), f["row"].tolist(), strict=True)]
+    newest = max(batch_id for batch_id, _ in came)
+    before_id, held = state.get if state.exists else (newest, [])
+    if before_id > newest:
+        return
+    now = [row for batch_id, row in came if batch_id == newest]
+    before, after = Counter(held), Counter(now)
+    state.update((newest, now))
+    back, new = list((before - after).elements()), list((after - before).elements())
+    if back or new:
+        project, path = key
+        n = len(back) + len(new)
+        yield pd.DataFrame({"project": [project] * n, "path": [path] * n, "row": back + new, "sign": [-1] * len(back) + [1] * len(new)})
+
+
+def _folder(spark: SparkSession, path: str, schema: str) -> str:
+    """The folder, with an empty first batch so that a stream can start on it."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    return path
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """project, path and the other columns of scanned rows as one text, which the keyed state compares."""
+    return rows.select("project", "path", F.to_json(F.struct(*_HELD_COLUMNS)).alias("row"))
+
+
+def scan_changes(spark: SparkSession, scans: str) -> DataFrame:
+    """The differences that the packed scans below a folder make, as a stream of CHANGES rows."""
+    rows = spark.readStream.schema(f"{_PACKED}, batch_id BIGINT").parquet(scans)
+    changes = rows.groupBy("project", "path").applyInPandasWithState(
+        path_changes, f"{_PACKED}, sign INT", "batch_id BIGINT, rows ARRAY<STRING>", "update", GroupStateTimeout.NoTimeout
+    )
+    unpacked = changes.withColumn("row", F.from_json("row", _HELD))
+    columns = {c: F.col(c) if c in ("project", "path", "sign") else F.col(f"row.{c}") for c in _names(CHANGES)}
+    return unpacked.select(*(column.alias(c) for c, column in columns.items()))
+
+
+class Watch:
+    """The streams of a watched corpus, ended together."""
+
+    def __init__(self, queries: list[StreamingQuery]):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for query in self.queries:
+            query.awaitTermination()
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+
+
 def scan_stream(
     files: DataFrame,
     out: str,
@@ -41,56 +120,73 @@ def scan_stream(
     load_config: Callable[[], ScanConfig] = ScanConfig,
     clock_ns: Callable[[], int] | None = None,
     interval: str | None = None,
-) -> StreamingQuery:
-    """Scan each batch of new files into ``out``/findings and ``out``/files.
+) -> Watch:
+    """Scan each batch of new files into ``out``/scans and its differences into ``out``/changes.
 
-    The configuration is loaded again for every batch. With a clock, each batch also
-    adds a score snapshot of the projects as they then stand.
+    The configuration is loaded again for every batch. With a clock, each batch of differences also
+    adds a score snapshot of all projects as they then stand. Without an interval, the streams take what is
+    there one after the other and stop; with one they run side by side.
     """
+    spark = files.sparkSession
+
+    def scan(batch: DataFrame, batch_id: int) -> None:
+        write_batch(packed(scan_rows(batch, load_config())), f"{out}/scans", batch_id)
+
+    def snapshot(totals: DataFrame, batch_id: int) -> None:
+        at = F.lit(clock_ns()).cast("decimal(20,0)")
+        write_batch(make_snapshots(totals, at), f"{out}/snapshots", batch_id)
+
+    queries: list[StreamingQuery] = []
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        # Findings and file rows are kept between the two writes, file contents are not.
-        rows = scan_rows(batch, load_config()).persist()
-        try:
-            found, seen = rows.where("rule IS NOT NULL"), rows.where("rule IS NULL")
-            write_batch(found.select(*FINDING_COLUMNS), f"{out}/findings", batch_id)
-            write_batch(seen.select("project", "path", "lines"), f"{out}/files", batch_id)
-        finally:
-            rows.unpersist()
-        if clock_ns is not None:
-            spark = batch.sparkSession
-            scores = project_scores(with_files(current_files(spark, out), current_findings(spark, out)))
-            write_batch(
-                make_snapshots(scores, F.lit(clock_ns()).cast("decimal(20,0)")), f"{out}/snapshots", batch_id
-            )
-
-    return run_each_batch(files, step, checkpoint, interval)
+    def run(query: StreamingQuery) -> None:
+        queries.append(query)
+        if interval is None:
+            query.awaitTermination()
+
+    scans, changes = _folder(spark, f"{out}/scans", _PACKED), _folder(spark, f"{out}/changes", CHANGES)
+    run(run_each_batch(files, scan, f"{checkpoint}/scans", interval))
+    run(run_to_table(scan_changes(spark, scans), changes, f"{checkpoint}/changes", "update", interval))
+    if clock_ns is not None:
+        totals = project_scores(read_changes(spark, out), F.col("sign"))
+        run(run_each_batch(totals, snapshot, f"{checkpoint}/snapshots", interval, mode="complete"))
+    return Watch(queries)
+
+
+def read_changes(spark: SparkSession, out: str) -> DataFrame:
+    """The differences as a stream of their own."""
+    return spark.readStream.schema(f"{CHANGES}, batch_id BIGINT").parquet(f"{out}/changes").drop("batch_id")
+
+
+def _current(spark: SparkSession, out: str) -> DataFrame:
+    """What all differences add up to: the rows of the newest scan of each path."""
+    columns = _names(SCANNED)
+    rows = spark.read.schema(f"{CHANGES}, batch_id BIGINT").parquet(f"{out}/changes")
+    left = rows.groupBy(*columns).agg(F.sum("sign").cast("int").alias("n")).where("n > 0")
+    return left.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
 
 
 def current_files(spark: SparkSession, out: str) -> DataFrame:
-    """Newest scan of each path."""
-    seen = spark.read.schema(_SEEN).parquet(f"{out}/files")
-    return seen.groupBy("project", "path").agg(
-        F.max("batch_id").alias("batch_id"), F.max_by("lines", "batch_id").alias("lines")
-    )
+    """project, path and lines of the newest scan of each path."""
+    return _current(spark, out).where("rule IS NULL").select("project", "path", "lines")
 
 
 def current_findings(spark: SparkSession, out: str) -> DataFrame:
     """Findings of the newest scan of each path."""
-    found = spark.read.schema(f"{FINDINGS}, batch_id BIGINT").parquet(f"{out}/findings")
-    newest = current_files(spark, out).select("project", "path", "batch_id")
-    return found.join(newest, ["project", "path", "batch_id"], "left_semi").drop("batch_id")
+    return _current(spark, out).where("rule IS NOT NULL").select(*FINDING_COLUMNS)
 
 
-def live_scores(findings: DataFrame, weight: Column) -> DataFrame:
+def live_scores(findings: DataFrame, weight: Column, sign: Column | None = None) -> DataFrame:
     """Running findings, deduction and score per project over a stream of ``scan_rows``.
 
-    A row without a severity stands for a file and keeps a clean project in the table.
+    A row without a severity stands for a file and keeps a clean project in the table. With ``sign`` the
+    rows are differences, so a rewritten file takes back what it had added.
     """
-    total = F.coalesce(F.sum(weight), F.lit(0))
+    one = F.lit(1) if sign is None else sign
+    total = F.coalesce(F.sum(weight * one), F.lit(0))
+    found = F.coalesce(F.sum(F.when(F.col("severity").isNotNull(), one)), F.lit(0))
     return (
         findings.groupBy("project")
-        .agg(F.count("severity").alias("total_findings"), total.alias("deduction"))
+        .agg(found.cast("bigint").alias("total_findings"), total.alias("deduction"))
         .withColumn("security_score", F.greatest(F.lit(0), 100 - F.col("deduction")).cast("int"))
     )
 

@@ -6,7 +6,7 @@ from lintlake.operators import graph as GR
 from lintlake.operators import rules as RU
 from lintlake.operators import scoring as SC
 from lintlake.plans import derived as D
-from lintlake.plans.sizing import at_most, spread
+from lintlake.plans.sizing import spread
 
 from .conftest import SF
 
@@ -59,8 +59,6 @@ def test_top_lists_are_cut_before_the_shuffle(spark):
 
 
 def test_sizes(spark):
-    df = spark.range(10).selectExpr("cast(id as string) as s")
-    assert at_most(df, 10) and not at_most(df, 9) and not at_most(df, 10, max_bytes=20)
     assert spread(spark.range(0, 100, 1, 2), "id").rdd.getNumPartitions() == 8
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide, "id") is wide

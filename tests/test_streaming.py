@@ -40,6 +40,55 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{out}/snapshots").select("batch_id").distinct().count() == 3
 
 
+def test_rewritten_files_give_differences(spark, tmp_path):
+    """A rewritten path takes back what is gone and adds what is new; the rest stays, and each batch reads its own files only."""
+    root, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    batches = [
+        {"p/a.py": "eval(x)\n# TODO: one\n", "p/b.py": "eval(y)\n", "q/c.py": "x = 1\n"},
+        {"p/a.py": "eval(x)\nx = 1\n# TODO: one\n", "p/b.py": "y = 1\n"},
+        {"p/a.py": "eval(x)\nx = 1\n# TODO: one\n", "q/d.py": "eval(z)\n"},
+    ]
+    signs, read = [], []
+    for n, batch in enumerate(batches):
+        write_tree(root, {f"drop{n}/{path}": text for path, text in batch.items()})
+        dropped = WA.stream_corpus(spark, str(root))  # a file stream reads a path once, so each batch has a folder of its own
+        files = dropped.withColumn("project", F.substring_index("path", "/", 1)).withColumn("path", F.substring_index("path", "/", -1))
+        watch = WA.scan_stream(files, out, ckpt)
+        read.append(sum(p["numInputRows"] for p in watch.queries[1].recentProgress))
+        rows = spark.read.schema(f"{WA.CHANGES}, batch_id BIGINT").parquet(f"{out}/changes").where(F.col("batch_id") == n).collect()
+        signs.append(sorted((r.path, r.rule or "file", r.line_no if r.rule else r.lines, r.sign) for r in rows))
+    assert signs[0] == [("a.py", "dangerous-command", 1, 1), ("a.py", "file", 2, 1), ("a.py", "todo-tracker", 2, 1),
+                        ("b.py", "dangerous-command", 1, 1), ("b.py", "file", 1, 1), ("c.py", "file", 1, 1)]
+    assert signs[1] == [("a.py", "file", 2, -1), ("a.py", "file", 3, 1), ("a.py", "todo-tracker", 2, -1), ("a.py", "todo-tracker", 3, 1),
+                        ("b.py", "dangerous-command", 1, -1)]
+    assert signs[2] == [("d.py", "dangerous-command", 1, 1), ("d.py", "file", 1, 1)]
+    assert read == [6, 4, 5]
+    newest = tmp_path / "newest"
+    for batch in batches:
+        write_tree(newest, batch)
+    want = read_corpus(spark, str(newest))
+    assert found(WA.current_findings(spark, out)) == found(RU.scan_findings(want))
+    assert sorted(map(tuple, WA.current_files(spark, out).collect())) == [("p", "a.py", 3), ("p", "b.py", 1), ("q", "c.py", 1), ("q", "d.py", 1)]
+
+
+def test_a_scan_that_arrives_twice_changes_nothing(spark, tmp_path):
+    """Scans that were written again, several scans of a path at once, and an old one that comes late."""
+    scans = str(tmp_path / "scans")
+    row = lambda rule, line, lines: ("p", rule, "t", "c", "HIGH" if rule else None, "a.py", line, "m", None, lines)
+    deliveries = [[(0, [row("x", 1, None), row(None, None, 4)])], [(0, [row("x", 1, None), row(None, None, 4)])],
+                  [(2, [row("x", 2, None), row("x", 2, None), row(None, None, 5)]), (1, [row("y", 9, None), row(None, None, 9)])],
+                  [(1, [row("y", 9, None), row(None, None, 9)])]]
+    signs = []
+    for delivery in deliveries:
+        for batch_id, rows in delivery:
+            WA.packed(spark.createDataFrame(rows, WA.SCANNED)).coalesce(1).write.mode("append").parquet(f"{scans}/batch_id={batch_id}")
+        SI.run_to_table(WA.scan_changes(spark, scans), str(tmp_path / "out"), str(tmp_path / "ckpt"), "update").awaitTermination()
+        n = len(signs)
+        seen = spark.read.schema(f"{WA.CHANGES}, batch_id BIGINT").parquet(str(tmp_path / "out")).where(F.col("batch_id") == n)
+        signs.append(sorted((r.rule or "file", r.line_no or r.lines, r.sign) for r in seen.collect()))
+    assert signs == [[("file", 4, 1), ("x", 1, 1)], [], [("file", 4, -1), ("file", 5, 1), ("x", 1, -1), ("x", 2, 1), ("x", 2, 1)], []]
+
+
 def test_config_is_loaded_per_batch(spark, tmp_path):
     root, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
     configs = iter([RU.ScanConfig(), RU.ScanConfig(dangerous_commands=False)])
