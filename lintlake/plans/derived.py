@@ -340,6 +340,35 @@ def doc_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_doc_patches(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Every document's own lines as a section of a patch file, below a folder for each source.
+
+    Of three lines two are added and one is context; every seventh comes with a removed line. A second hunk
+    starts at the tenth line and goes on at line 101.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id").where("text IS NOT NULL")
+    name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+    def line(text: Column, i: Column) -> Column:
+        marked = F.concat(F.when(i % 3 == 2, F.lit(" ")).otherwise(F.lit("+")), text)
+        marked = F.when(i % 7 == 4, F.concat(F.lit("-gone\n"), marked)).otherwise(marked)
+        return F.when(i == 9, F.concat(F.lit("@@ -10,9 +101,9 @@ next\n"), marked)).otherwise(marked)
+
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    head = F.concat(F.lit("diff --git a/x b/x\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1 +1,9 @@\n"))
+    sections = docs.select(F.col("source").alias("project"), F.concat(head, body).alias("value"))
+    sections.write.partitionBy("project").text(path)
+
+
+# Rows of ``patched``: what the patch files add.
+SQL_PATCHED = """
+SELECT source AS project, 'docs/' || doc_id || '.txt' AS path, (CASE WHEN i < 10 THEN i ELSE i + 91 END)::INT AS line_no,
+       CASE WHEN ends_with(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS text
+FROM (SELECT source, doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i
+      FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+WHERE i % 3 <> 0"""
+
+
 # CTE ``added(project, path, line_no, text)``; needs ``lines``.
 SQL_ADDED = f"""
 added AS (

@@ -536,6 +536,7 @@ FROM snapshots GROUP BY project"""),
     "latest_run": _with(*PROBES, body="""
 SELECT project, '00000000000000000002' AS run_id, case_id, verdict, issue_id FROM outcomes"""),
     "diff_lines": _with(CODE, D.SQL_ADDED, body="SELECT project, path, line_no, text FROM added"),
+    "patch_file_lines": D.SQL_PATCHED,
     "review_findings": _with(*SCAN_CTES, _race(), D.SQL_ADDED, REVIEW, body="SELECT * FROM review"),
     "review_summary": _with(*SCAN_CTES, _race(), D.SQL_ADDED, REVIEW, body="""
 SELECT project, findings, blocking, CASE WHEN blocking > 0 THEN 'failed' WHEN findings = 0 THEN 'passed'

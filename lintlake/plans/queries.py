@@ -355,6 +355,15 @@ def diff_lines(spark, d):
     return _added(spark, d).select("project", "path", "line_no", "text")
 
 
+@query
+def patch_file_lines(spark, d):
+    """What patch files with every line of the documents add; the files are read in splits."""
+    path = fresh_dir(spark, "patches")
+    D.write_doc_patches(spark, d, path)
+    rows = DI.read_diffs(spark, path, F.col("project"))
+    return DI.added_lines(rows).select("project", "path", "line_no", "text")
+
+
 def _review(spark, d) -> DataFrame:
     files = D.code_corpus(spark, d)
     return RV.review_findings(RU.scan_findings(files, SCAN), files, _added(spark, d))

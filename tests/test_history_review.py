@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lintlake.operators import changes as CH
@@ -27,7 +29,7 @@ index 111..222 100644
 
 def lines_of(spark, text, chunk=4096):
     diffs = spark.createDataFrame([("p", "d", text)], "project STRING, diff_id STRING, diff STRING")
-    rows = DI.added_lines(DI.diff_rows(diffs), chunk).collect()
+    rows = DI.added_lines(DI.diff_rows(diffs, chunk)).collect()
     return sorted((r.path, r.line_no, r.text) for r in rows)
 
 
@@ -43,10 +45,44 @@ def test_deleted_file_and_two_files(spark):
 
 
 def test_read_diffs(spark, tmp_path):
-    (tmp_path / "1.diff").write_text(TWO_HUNKS)
-    diffs = DI.read_diffs(spark, str(tmp_path), "p")
-    assert diffs.first().diff_id == "1.diff"
-    assert DI.added_lines(DI.diff_rows(diffs)).count() == 3
+    (tmp_path / "one.diff").write_text(TWO_HUNKS)
+    rows = DI.read_diffs(spark, str(tmp_path), "p")
+    got = DI.added_lines(rows).collect()
+    assert {(r.project, r.diff_id) for r in got} == {("p", "one.diff")} and len(got) == 3
+
+
+def test_a_diff_file_of_many_splits(spark, tmp_path):
+    """Headers, hunks and rows that are parted by split borders, against numbering the file from its first line on."""
+    rng = random.Random(9)
+    out, want, path, line = [], [], None, 0
+    for i in range(6000):
+        kind = rng.choices(["add", "keep", "gone", "hunk", "file", "null"], [60, 20, 15, 2, 1, 0.2])[0]
+        if kind == "file" or i == 0:
+            path = f"d/{i}.py"
+            out += [f"--- a/{path}", f"+++ b/{path}"]
+        elif kind == "null":
+            path = None
+            out.append("+++ /dev/null")
+        elif kind == "hunk":
+            line = rng.randrange(1, 9000)
+            out.append(f"@@ -1,2 +{line},9 @@")
+        elif kind == "gone":
+            out.append(f"-text {i}")
+        else:
+            out.append(("+" if kind == "add" else " ") + f"text é {i}" + rng.choice(["", "\r"]))
+            if path is not None:
+                if kind == "add":
+                    want.append((path, line, f"text é {i}"))
+                line += 1
+    (tmp_path / "big.diff").write_bytes("\n".join(out).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = DI.read_diffs(spark, str(tmp_path), "p")
+        assert rows.rdd.getNumPartitions() > 20 and rows.select("range").distinct().count() > 20
+        got = sorted((r.path, r.line_no, r.text) for r in DI.added_lines(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(want) and len(got) > 3000
 
 
 def test_odd_diffs_in_every_chunk_size(spark):
