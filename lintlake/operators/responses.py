@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -118,11 +118,14 @@ def judge_cases(
     """One outcome per planned case, with its check results.
 
     ``plans`` comes from ``request_plan``; ``responses`` holds (case_id = variant id,
-    phase, seq, status, headers, body, error). A body is reduced to one boolean per
-    expectation where it is read, so bodies are not shuffled with the results. Requests
-    beyond a case's request cap do not count. ``strict_limit`` makes a rate limit
-    fail when the block came later than promised.
+    phase, seq, status, headers, body, error). Requests beyond a case's request cap do not count.
+    ``strict_limit`` makes a rate limit fail when the block came later than promised.
+
+    Two aggregates, each reduced before its shuffle, so a case may have any number of responses: the
+    first tells where a case stops, the second counts what was seen until then and keeps the response that
+    decides. A body is reduced to one boolean per expectation.
     """
+    seq, status, session = F.col("seq"), F.col("status"), F.col("session")
     wanted = plans.select(
         F.col("variant_id").alias("case_id"),
         "session",
@@ -131,69 +134,58 @@ def judge_cases(
         F.exists("expectations", lambda e: e["kind"] == "blocked_after").alias("stops"),
         sends_body().alias("has_body"),
     )
-    ok = F.col("error").isNull()
-    rows = (
-        responses.join(wanted, "case_id")
-        .where(
-            F.when(F.col("session"), F.col("phase").isin("login", "reuse")).otherwise(
-                (F.col("phase") == "request") & (F.col("seq") <= F.col("request_cap"))
-            )
+    counted = F.when(session, F.col("phase").isin("login", "reuse")).otherwise(
+        (F.col("phase") == "request") & (seq <= F.col("request_cap"))
+    )
+    login = F.col("phase") == "login"
+    stops = (
+        responses.join(wanted.select("case_id", "session", "request_cap"), "case_id")
+        .where(counted)
+        .groupBy("case_id")
+        .agg(
+            F.min(F.when(F.col("error").isNotNull(), seq)).alias("failed_at"),
+            F.min(F.when(~session & status.isin(V.BLOCKED_STATUSES), seq)).alias("first_block"),
+            F.max(F.when(login, F.col("error"))).alias("login_error"),
+            F.max(F.when(login, cookie_of(F.col("headers")))).alias("cookie"),
         )
-        .select(
-            "case_id",
-            "session",
-            "phase",
-            "seq",
-            "stops",
-            "status",
-            "error",
-            F.when(F.col("phase") == "login", cookie_of(F.col("headers"))).alias("cookie"),
-            F.when(
-                ok,
-                F.transform("expectations", lambda e: _holds(e, F.col("status"), F.col("body"))),
-            ).alias("held"),
-            F.when(ok & F.col("has_body") & ~F.col("session"), leaks_sql_error(F.col("body"))).alias("leak"),
+        .withColumn(
+            "blocked_at",
+            F.when(F.col("failed_at").isNull() | (F.col("first_block") < F.col("failed_at")), F.col("first_block")),
         )
+        .drop("first_block")
     )
-    case = Window.partitionBy("case_id")
-    seq = F.col("seq")
-    staged = rows.withColumns(
-        {
-            "failed_at": F.min(F.when(F.col("error").isNotNull(), seq)).over(case),
-            "login_error": F.max(F.when(F.col("phase") == "login", F.col("error"))).over(case),
-            "case_cookie": F.max("cookie").over(case),
-        }
-    )
-    before_failure = F.col("failed_at").isNull() | (seq < F.col("failed_at"))
-    blocked = F.when(
-        ~F.col("session") & before_failure & F.col("status").isin(V.BLOCKED_STATUSES), seq
-    )
-    staged = staged.withColumn("blocked_at", F.min(blocked).over(case))
-    seen = before_failure & (
+    ok = F.col("error").isNull()
+    seen = (F.col("failed_at").isNull() | (seq < F.col("failed_at"))) & (
         ~F.col("stops") | F.col("blocked_at").isNull() | (seq <= F.col("blocked_at"))
     )
-    staged = staged.withColumns(
-        {"n_seen": F.count_if(seen).over(case), "last_seen": F.max(F.when(seen, seq)).over(case)}
-    )
-    # The deciding row: the last response seen, the reuse, or the failure that ended it.
-    picked = staged.where(
-        F.when(
-            F.col("session"),
-            F.when(F.col("login_error").isNotNull(), F.col("phase") == "login").otherwise(
-                F.col("phase") == "reuse"
-            ),
-        ).otherwise(seq == F.coalesce("last_seen", "failed_at"))
-    )
-    final = picked.groupBy("case_id").agg(
-        F.max_by(
+    # The deciding row: the last response seen, or else the failure that ended it; of a session, the login
+    # that failed or the reuse.
+    decides = F.when(
+        session, F.when(F.when(F.col("login_error").isNotNull(), login).otherwise(F.col("phase") == "reuse"), F.struct(F.lit(1), seq))
+    ).otherwise(F.when(seen, F.struct(F.lit(1), seq)).when(seq == F.col("failed_at"), F.struct(F.lit(0), seq)))
+    final = (
+        responses.join(wanted.join(stops, "case_id"), "case_id")
+        .where(counted)
+        .select(
+            "case_id",
+            seen.alias("seen"),
+            decides.alias("rank"),
             F.struct(
-                "status", "error", "held", "leak", "blocked_at", "n_seen", "login_error",
-                F.col("case_cookie").alias("cookie"),
-            ),
-            "seq",
-        ).alias("last")
+                "status",
+                "error",
+                F.when(ok, F.transform("expectations", lambda e: _holds(e, F.col("status"), F.col("body")))).alias("held"),
+                F.when(ok & F.col("has_body") & ~session, leaks_sql_error(F.col("body"))).alias("leak"),
+                "blocked_at",
+                "login_error",
+                "cookie",
+            ).alias("row"),
+        )
+        .groupBy("case_id")
+        .agg(F.count_if("seen").alias("n_seen"), F.max_by("row", "rank").alias("row"))
+        .where("row IS NOT NULL")
+        .select(F.col("case_id").alias("variant_id"), F.col("row").withField("n_seen", F.col("n_seen")).alias("last"))
     )
-    return _outcomes(plans.join(final.withColumnRenamed("case_id", "variant_id"), "variant_id", "left"), strict_limit)
+    return _outcomes(plans.join(final, "variant_id", "left"), strict_limit)
 
 
 def _outcomes(joined: DataFrame, strict_limit: bool) -> DataFrame:

@@ -62,3 +62,13 @@ def test_sizes(spark):
     assert spread(spark.range(0, 100, 1, 2), "id").rdd.getNumPartitions() == 8
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide, "id") is wide
+
+
+def test_responses_are_judged_by_aggregates(spark):
+    """No window over a case's responses; each aggregate starts before its shuffle."""
+    from lintlake.operators import probes as PR
+    from lintlake.operators import responses as RE
+
+    plans = PR.request_plan(PR.expand_cases(D.probe_cases(spark, SF)))
+    text = plan(RE.judge_cases(plans, D.recorded_responses(spark, SF)))
+    assert "Window" not in text and text.count("partial_max_by") == 1 and text.count("partial_min") >= 1
