@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -27,65 +27,64 @@ def import_edges(files: DataFrame) -> DataFrame:
     return files.select("project", "path", F.explode(imports).alias("module"))
 
 
-def used_names(files: DataFrame) -> DataFrame:
-    """Distinct (project, kind, key) that count as a use of a package.
+def usage_index(files: DataFrame) -> DataFrame:
+    """What the corpus uses, by (project, key): importing files, and the spellings written as a path.
 
-    kind 'import' holds normalised module names, kind 'path' identifiers written as
-    'name::' in Rust files. Both come out of one pass over the corpus, and repeats
-    collapse inside each task before the shuffle.
+    The key is the normalised name, which a module and a 'name::' path of a Rust file have in common;
+    ``files`` counts each file once for every module of the key, ``idents`` holds the key's different
+    spellings. Both come out of one pass over the corpus and shrink inside each task before the shuffle.
     """
+    nothing = F.lit(None).cast("string")
     modules = F.transform(
         imported_modules(F.col("language"), split_lines(F.col("content"))),
-        lambda m: F.struct(F.lit("import").alias("kind"), normalize_name(m).alias("key")),
+        lambda m: F.struct(normalize_name(m).alias("key"), nothing.alias("ident")),
     )
     idents = F.transform(
         F.when(
             (F.col("language") == "Rust") & F.contains("content", F.lit("::")),
             path_idents(F.col("content")),
         ).otherwise(F.array().cast("array<string>")),
-        lambda m: F.struct(F.lit("path").alias("kind"), m.alias("key")),
+        lambda m: F.struct(normalize_name(m).alias("key"), m.alias("ident")),
+    )
+    return (
+        files.select("project", F.inline(F.concat(modules, idents)))
+        .groupBy("project", "key")
+        .agg(F.count_if(F.col("ident").isNull()).alias("files"), F.collect_set("ident").alias("idents"))
     )
-    return files.select("project", F.inline(F.concat(modules, idents))).distinct()
 
 
-def _crate_ident(name):
-    return F.translate(name, "-", "_")
+def with_usage(named: DataFrame, usage: DataFrame, relevant: Column | None = None) -> DataFrame:
+    """``named`` (project, name) rows with ``files`` and ``pathed``, by one join on (project, key).
+
+    Rows that aren't ``relevant`` have no key. They are dealt out under keys of their own that nothing has, so
+    that they don't meet in one task.
+    """
+    key = normalize_name(F.col("name"))
+    if relevant is not None:
+        spare = F.concat(F.lit("\x00"), F.xxhash64(*named.columns).cast("string"))
+        key = F.when(relevant, key).otherwise(spare)
+    joined = named.withColumn("key", key).join(usage, ["project", "key"], "left").drop("key")
+    pathed = F.array_contains(F.coalesce("idents", F.array().cast("array<string>")), F.translate("name", "-", "_"))
+    return joined.withColumns({"files": F.coalesce("files", F.lit(0)), "pathed": pathed}).drop("idents")
 
 
 def dependency_inventory(
-    files: DataFrame, declared: DataFrame | None = None, names: DataFrame | None = None
+    files: DataFrame, declared: DataFrame | None = None, usage: DataFrame | None = None
 ) -> DataFrame:
     """Declared dependencies with ``used``: true, false, or NULL where it cannot be told.
 
-    Both look-ups are equi-joins on distinct names; the corpus is read for names once
-    instead of being searched once per dependency. ``declared`` and ``names`` can be
+    The look-up is one equi-join with ``usage_index``; the corpus is read for it once
+    instead of being searched once per dependency. ``declared`` and ``usage`` can be
     passed in where a caller has already written them to a table.
     """
     declared = declared if declared is not None else declared_dependencies(files)
-    names = names if names is not None else used_names(files)
-    imported = names.where("kind = 'import'").select(
-        F.col("project"), F.col("key").alias("norm"), F.lit(True).alias("imported")
-    )
-    pathed = names.where("kind = 'path'").select(
-        F.col("project"), F.col("key").alias("ident"), F.lit(True).alias("pathed")
-    )
-    # Only a Cargo package can be used through its path; others get a NULL key.
-    is_cargo = F.col("ecosystem") == V.ECOSYSTEMS["Cargo.toml"]
+    usage = usage if usage is not None else usage_index(files)
     detectable = F.col("ecosystem").isin(V.USAGE_ECOSYSTEMS)
-    seen = F.coalesce("imported", F.lit(False)) | F.coalesce("pathed", F.lit(False))
-    return (
-        declared.withColumns(
-            {
-                "norm": F.when(detectable, normalize_name(F.col("name"))),
-                "ident": F.when(is_cargo, _crate_ident(F.col("name"))),
-            }
-        )
-        .join(imported, ["project", "norm"], "left")
-        .join(pathed, ["project", "ident"], "left")
-        .select(
-            "project", "path", "manifest", "ecosystem", "name", "version", "dev",
-            F.when(detectable, seen).alias("used"),
-        )
+    # Only a Cargo package can be used through its path.
+    is_cargo = F.col("ecosystem") == V.ECOSYSTEMS["Cargo.toml"]
+    seen = (F.col("files") > 0) | (is_cargo & F.col("pathed"))
+    return with_usage(declared, usage, detectable).select(
+        "project", "path", "manifest", "ecosystem", "name", "version", "dev", F.when(detectable, seen).alias("used")
     )
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import normalize_name
 from ..sources.manifests import declared_dependencies
-from .dependencies import _crate_ident, file_imports, import_edges, used_names
+from .dependencies import file_imports, usage_index, with_usage
 
 
 def module_counts(edges: DataFrame) -> DataFrame:
@@ -52,7 +51,9 @@ def graph_summary(edges: DataFrame) -> DataFrame:
     return modules.join(files, "project")
 
 
-def dependency_nodes(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def dependency_nodes(
+    files: DataFrame, declared: DataFrame | None = None, usage: DataFrame | None = None
+) -> DataFrame:
     """Declared dependencies of the graph: one row per project, name and manifest kind.
 
     Of several declarations the one with the smallest path is kept. ``importing_files``
@@ -66,29 +67,13 @@ def dependency_nodes(files: DataFrame, declared: DataFrame | None = None) -> Dat
     nodes = graphed.groupBy("project", "name", "manifest").agg(
         F.min_by("dev", F.struct("path", "dev")).alias("dev")
     )
-    importers = (
-        import_edges(files)
-        .groupBy("project", normalize_name(F.col("module")).alias("norm"))
-        .agg(F.count("*").alias("importing_files"))
-    )
-    pathed = (
-        used_names(files).where("kind = 'path'")
-        .select("project", F.col("key").alias("ident"), F.lit(True).alias("pathed"))
-    )
-    return (
-        nodes.withColumns(
-            {"norm": normalize_name(F.col("name")), "ident": _crate_ident(F.col("name"))}
-        )
-        .join(importers, ["project", "norm"], "left")
-        .join(pathed, ["project", "ident"], "left")
-        .select(
-            "project",
-            "name",
-            "manifest",
-            "dev",
-            F.coalesce("importing_files", F.lit(0)).alias("importing_files"),
-            (F.col("importing_files").isNotNull() | F.col("pathed").isNotNull()).alias("used"),
-        )
+    return with_usage(nodes, usage if usage is not None else usage_index(files)).select(
+        "project",
+        "name",
+        "manifest",
+        "dev",
+        F.col("files").alias("importing_files"),
+        ((F.col("files") > 0) | F.col("pathed")).alias("used"),
     )
 
 

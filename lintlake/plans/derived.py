@@ -422,27 +422,73 @@ LISTING_OLD_UNTIL = "2024-01-16"
 LISTING_NEW_FROM = "2024-01-08"
 
 
-def event_listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An old and a new listing of paths from overlapping spans that cover all events."""
+def event_listing(spark: SparkSession, sf_dir: str, since: str | None, until: str | None) -> DataFrame:
+    """A listing of paths from the events of a span; the newest event of a path is its time."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    listed = events.select(
-        F.col("event_type").alias("project"),
-        F.concat(
-            F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 13).cast("string")
-        ).alias("path"),
-        "ts",
-        "event_id",
-    )
+    if since:
+        events = events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until:
+        events = events.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 13).cast("string"))
+    listed = events.select(F.col("event_type").alias("project"), path.alias("path"), "event_id")
+    return listed.groupBy("project", "path").agg(F.max("event_id").alias("mtime_ns"))
 
-    def newest(df):
-        return df.groupBy("project", "path").agg(F.max("event_id").alias("mtime_ns"))
 
+def event_listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An old and a new listing of paths from overlapping spans that cover all events."""
     return (
-        newest(listed.where(F.col("ts") < F.lit(LISTING_OLD_UNTIL).cast("timestamp_ntz"))),
-        newest(listed.where(F.col("ts") >= F.lit(LISTING_NEW_FROM).cast("timestamp_ntz"))),
+        event_listing(spark, sf_dir, None, LISTING_OLD_UNTIL),
+        event_listing(spark, sf_dir, LISTING_NEW_FROM, None),
     )
 
 
+#: Spans of three listings that cover all events: some paths come, some change, some go.
+TICK_SPANS = [(None, LISTING_OLD_UNTIL), (LISTING_NEW_FROM, "2024-01-24"), ("2024-01-12", None)]
+
+
+def sql_ticks() -> str:
+    """What changes from tick to tick, as SQL."""
+    lists, parts = [], []
+    for n, (since, until) in enumerate(TICK_SPANS):
+        bounds = [f"ts >= TIMESTAMP '{since}'"] if since else []
+        bounds += [f"ts < TIMESTAMP '{until}'"] if until else []
+        lists.append(f"l{n} AS (SELECT project, path, max(event_id) AS ns FROM listed WHERE {' AND '.join(bounds)} GROUP BY 1, 2)")
+        before = f"l{n - 1}" if n else "(SELECT * FROM l0 WHERE false)"
+        parts.append(
+            f"SELECT {n} AS tick, project, path, CASE WHEN o.ns IS NULL THEN 'added' WHEN w.ns IS NULL THEN 'removed' ELSE 'modified' END AS status "
+            f"FROM {before} o FULL JOIN l{n} w USING (project, path) WHERE o.ns IS DISTINCT FROM w.ns"
+        )
+    listed = "listed AS (SELECT event_type AS project, 'u' || user_id || '/' || (event_id % 13) AS path, ts, event_id FROM events)"
+    return f"WITH {listed}, {', '.join(lists)}\n" + "\nUNION ALL ".join(parts)
+
+
+# --- documents as files of a tree --------------------------------------------------
+
+TREE_DIRS = ["src", "node_modules", "src/.cache", "lib/vendor", "docs/target.d", "a/b", ".venv/x"]
+TREE_LIMIT = 4000
+
+
+def document_tree(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Every document as a file as Spark lists it (path, length, content), in folders of which some are skipped.
+
+    Every eleventh file is binary, with a NUL byte behind its first line.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    doc_id = F.col("doc_id")
+    path = F.concat(F.lit(f"{root}/"), "source", F.lit("/"), _pick(TREE_DIRS, doc_id), F.lit("/d"), doc_id.cast("string"), F.lit(".py"))
+    text = F.when(doc_id % 11 == 0, F.concat(F.lit("x = 1\n\0"), "text")).otherwise(F.col("text"))
+    return docs.select(path.alias("path"), F.octet_length(text).cast("bigint").alias("length"), text.cast("binary").alias("content"))
+
+
+def sql_document_tree() -> str:
+    return f"""
+SELECT source AS project, dir || '/d' || doc_id || '.py' AS path, bytes,
+       CASE WHEN dir IN ('node_modules', 'src/.cache', 'lib/vendor', '.venv/x') THEN 'path' WHEN bytes > {TREE_LIMIT} THEN 'size'
+            WHEN doc_id % 11 = 0 THEN 'binary' ELSE 'read' END AS reason
+FROM (SELECT *, {sql_pick(TREE_DIRS, "doc_id")} AS dir,
+             octet_length(encode(text)) + CASE WHEN doc_id % 11 = 0 THEN 7 ELSE 0 END AS bytes FROM documents)"""
+
+
 # --- events as probe cases and recorded responses ------------------------------------
 
 SUITES = {"signup": "Authentication", "error": "API", "click": "Web", "purchase": "Session", "view": None}

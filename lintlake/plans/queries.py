@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,16 @@ def corpus_stats(spark, d):
     return stats.withColumn("languages", F.array_join("languages", ","))
 
 
+@query
+def files_of_a_tree(spark, d):
+    """Every file below a root: read, or skipped by its path, its size or a NUL byte."""
+    tree = D.document_tree(spark, d, "/corpus")
+    skipped = CP.skipped_files(tree, "/corpus", max_file_bytes=D.TREE_LIMIT)
+    files = CP.corpus_from_binary(tree, "/corpus", max_file_bytes=D.TREE_LIMIT)
+    size = F.octet_length("content").cast("bigint")
+    return files.select("project", "path", size.alias("bytes"), F.lit("read").alias("reason")).union(skipped)
+
+
 @query
 def language_mix(spark, d):
     return (
@@ -335,11 +346,12 @@ def saved_history(spark, d):
 
 @query
 def latest_run(spark, d):
-    """The newer of two saved test runs."""
+    """The newest of two saved test runs; the second repeats what wasn't secure in every other project."""
     path = fresh_dir(spark, "runs")
     outcomes = _outcomes(spark, d)
-    for run_id in ("00000000000000000001", "00000000000000000002"):
-        ST.save_run(outcomes, run_id, path)
+    even = F.substr("project", F.lit(4)).cast("int") % 2 == 0
+    ST.save_run(outcomes, "00000000000000000001", path)
+    ST.save_run(outcomes.where(even & (F.col("verdict") != "secure")), "00000000000000000002", path)
     return ST.latest_run(spark, path).select("project", "run_id", "case_id", "verdict", "issue_id")
 
 
@@ -390,6 +402,14 @@ def snapshot_changes(spark, d):
     return CH.listing_changes(*D.event_listings(spark, d))
 
 
+@query
+def watch_ticks(spark, d):
+    """Three ticks of a watched tree: what each listing adds, changes and no longer has."""
+    state = fresh_dir(spark, "ticks")
+    ticks = [WA.watch_tick(D.event_listing(spark, d, *span), state, n) for n, span in enumerate(D.TICK_SPANS)]
+    return reduce(DataFrame.union, [t.select(F.lit(n).alias("tick"), "project", "path", "status") for n, t in enumerate(ticks)])
+
+
 @query
 def change_counts(spark, d):
     return CH.change_counts(CH.listing_changes(*D.event_listings(spark, d)))

@@ -25,19 +25,28 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_run(outcomes: DataFrame, run_id: str, path: str) -> None:
-    """Append the outcomes of one run; run ids sort in time order."""
-    columns = [c.split()[0] for c in TEST_RUNS.split(", ")]
-    outcomes.withColumn("run_id", F.lit(run_id)).select(*columns).write.mode("append").parquet(path)
+    """Save the outcomes of one run as a partition of its own; run ids sort in time order.
+
+    A run counts once its projects are named below ``commits``, which happens after its rows are in place, so
+    a run that broke off is not seen. Saving a run again replaces it.
+    """
+    columns = [c.split()[0] for c in TEST_RUNS.split(", ") if not c.startswith("run_id ")]
+    spark, rows = outcomes.sparkSession, f"{path}/rows/run_id={run_id}"
+    outcomes.select(*columns).write.mode("overwrite").parquet(rows)
+    projects = spark.read.schema(TEST_RUNS).parquet(rows).select("project").distinct()
+    projects.write.mode("overwrite").parquet(f"{path}/commits/run_id={run_id}")
 
 
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """Outcomes of the latest run of each project.
+    """Outcomes of the latest committed run of each project.
 
-    The newest id per project is found first, so runs are not gathered per project.
+    The commits tell the newest run of each project; of the rows, only partitions from the oldest of these on are read.
     """
-    runs = spark.read.schema(TEST_RUNS).parquet(path)
-    newest = runs.groupBy("project").agg(F.max("run_id").alias("run_id"))
-    return runs.join(newest, ["project", "run_id"], "left_semi")
+    commits = spark.read.schema("project STRING, run_id STRING").parquet(f"{path}/commits")
+    newest = commits.groupBy("project").agg(F.max("run_id").alias("run_id"))
+    rows = spark.read.schema(TEST_RUNS).parquet(f"{path}/rows")
+    recent = rows.where(F.col("run_id") >= newest.agg(F.min("run_id").alias("oldest")).scalar())
+    return recent.join(newest, ["project", "run_id"], "left_semi")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -72,3 +72,35 @@ def test_responses_are_judged_by_aggregates(spark):
     plans = PR.request_plan(PR.expand_cases(D.probe_cases(spark, SF)))
     text = plan(RE.judge_cases(plans, D.recorded_responses(spark, SF)))
     assert "Window" not in text and text.count("partial_max_by") == 1 and text.count("partial_min") >= 1
+
+
+def test_package_use_is_one_join_on_keys(spark):
+    """One read of the corpus and one join, and rows without a use of their own meet no hot key."""
+    files = docs(spark)
+    declared = spark.createDataFrame([("p", "pom.xml", "pom.xml", "Java (Maven)", f"n{i % 3}", "1", False) for i in range(50)],
+                                     "project STRING, path STRING, manifest STRING, ecosystem STRING, name STRING, version STRING, dev BOOLEAN")
+    for out in (DE.dependency_inventory(files, declared=declared), GR.dependency_nodes(files, declared=declared)):
+        text = plan(out)
+        assert text.count("FileScan") == 1 and text.count("Join ") == 1
+    usage = DE.usage_index(files)
+    from pyspark.sql import functions as F
+
+    numbered = declared.withColumn("path", F.monotonically_increasing_id().cast("string"))
+    assert DE.with_usage(numbered, usage, F.lit(False)).where("files > 0").count() == 0
+
+
+def test_only_recent_runs_are_read(spark, tmp_path):
+    from lintlake.schemas import TEST_RUNS
+    from lintlake.sources import state as ST
+
+    path = str(tmp_path / "runs")
+    row = lambda project, verdict: (project, "", "c", None, "n", "HIGH", "t", verdict, None, None, None)
+    for run_id, rows in (("01", [row("a", "x"), row("b", "x")]), ("02", [row("a", "y"), row("b", "y")]), ("03", [row("a", "z")])):
+        ST.save_run(spark.createDataFrame(rows, TEST_RUNS), run_id, path)
+    # a run whose rows are there but whose commit is not
+    spark.createDataFrame([row("b", "half")], TEST_RUNS).drop("run_id").write.parquet(f"{path}/rows/run_id=04")
+    df = ST.latest_run(spark, path)
+    assert {(r.project, r.run_id, r.verdict) for r in df.collect()} == {("a", "03", "z"), ("b", "02", "y")}
+    assert "PartitionFilters: [isnotnull(run_id" in plan(df)
+    ST.save_run(spark.createDataFrame([row("b", "again")], TEST_RUNS), "02", path)
+    assert ("b", "02", "again") in {(r.project, r.run_id, r.verdict) for r in ST.latest_run(spark, path).collect()}
