@@ -6,6 +6,8 @@ expressions without look-around. Only word lists and derived inputs are shared.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import fixed_values as V
 from . import derived as D
 from .derived import sql_text
@@ -326,6 +328,8 @@ outcomes AS (
          d.error, d.issue_id, d.event_id, d.session, d.target
   FROM decided d)"""
 PROBES = (D.SQL_RESPONSES, JUDGED)
+# Each step worked out once, for the query that joins two of them.
+MATERIALIZED_PROBES = tuple(re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", part) for part in PROBES)
 _verdicts = (
     "count(*) AS tested, count(*) FILTER (verdict = 'secure') AS passed, "
     "count(*) FILTER (verdict = 'vulnerable') AS vulnerable, count(*) FILTER (verdict = 'errored') AS errored"
@@ -588,7 +592,7 @@ SELECT project, security_score, CASE WHEN vulnerable > 0 OR security_score < 50
        tested, passed, vulnerable, errored, array_to_string(ids, ',') AS issue_ids,
        array_to_string(list_transform(ids, lambda issue: {_FIXES}), ' | ') AS remediations
 FROM totals LEFT JOIN scores USING (project)"""),
-    "technical_evidence": _with(*PROBES, body=f"""
+    "technical_evidence": _with(*MATERIALIZED_PROBES, body=f"""
 SELECT o.project, o.case_id, o.kind || '_case' AS name, o.severity,
        CASE WHEN session THEN 'session flow via ' ELSE {_METHOD} || ' ' END || {_URL} AS target,
        o.issue AS issue_id, k.description, k.detail, {_FIXES} AS remediation, {_REFERENCES} AS reference
