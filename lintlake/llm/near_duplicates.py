@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Run, mix, runs, span_hashes, window_hashes
@@ -42,6 +42,9 @@ MISSED = 1e-5
 #: Classes of a bucket, and full sets of a cluster, that one task compares at once.
 BLOCK = 4096
 SET_BLOCK = 768
+#: The filter of ids whose texts are read again: bits for each id, and 64-bit words at most.
+ID_BITS = 8
+ID_WORDS = 1 << 20
 _WIDTH = SYMBOLS // CHUNKS
 
 _random = np.random.default_rng(85)
@@ -215,7 +218,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
     """x, y, distance: a minimum spanning forest of each bucket over the pairs within the distance whose sizes allow a link.
 
     Linear in the bucket, it holds each class's nearest neighbour and connects all pairs of the bucket
-    that could be links. Distances are of four bits of each symbol, so they never overstate.
+    that could be links.
     """
     distance = CHUNKS + relaxed(percent) - 1
 
@@ -230,12 +233,15 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
                 first.append(at)
                 second.append(at + step)
             for k in np.flatnonzero(count > 3):
-                own, sizes = sketch[edges[k] : edges[k + 1]], size[edges[k] : edges[k + 1]]
+                own, whole, sizes = sketch[edges[k] : edges[k + 1]], marks[edges[k] : edges[k + 1]], size[edges[k] : edges[k + 1]]
 
-                def distances(i: int, own=own, sizes=sizes) -> np.ndarray:
-                    far = _nibbles(own ^ own[i]).sum(axis=1)
-                    fits = (far <= distance) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-                    return np.where(fits, far, 255).astype(np.uint8)
+                def distances(i: int, own=own, whole=whole, sizes=sizes) -> np.ndarray:
+                    # the sketches never overstate; only what they let pass is compared in full
+                    fits = (_nibbles(own ^ own[i]).sum(axis=1) <= distance) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+                    out, at = np.full(len(own), 255, np.uint8), np.flatnonzero(fits)
+                    far = (whole[at] != whole[i]).sum(axis=1)
+                    out[at] = np.where(far <= distance, far, 255)
+                    return out
 
                 pairs = np.array(_spanning(len(own), distances), np.int64).reshape(-1, 2) + edges[k]
                 first.append(pairs[:, 0])
@@ -244,8 +250,7 @@ def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
             far = np.zeros(len(p), np.int64)
             for at in range(0, len(p), 8192):
                 far[at : at + 8192] = (marks[p[at : at + 8192]] != marks[q[at : at + 8192]]).sum(axis=1)
-            # an edge of a forest stays if its sketches are near, as it may connect two others
-            keep = _nibbles(sketch[p] ^ sketch[q]).sum(axis=1) <= distance
+            keep = far <= distance
             keep &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
             p, q, far = p[keep], q[keep], far[keep]
             if len(p):
@@ -344,26 +349,36 @@ def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles: the full set of each wanted class (doc_id, cls), read from the text of its smallest id."""
+    """cls, shingles: the full set of each wanted class (doc_id, cls), read from the text of its smallest id.
+
+    Texts aren't moved. A filter of ID_BITS bits for each wanted id, and of ID_WORDS words at most, tells which texts may be
+    wanted; of their sets, those of wanted classes are kept.
+    """
+    words = 1 << max(10, min(ID_WORDS, max(1, wanted.count() * ID_BITS // 64)).bit_length())
+    place = F.xxhash64("doc_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(place, 32), F.lit(64)).cast("int"))
+    bits = np.zeros(words, np.int64)
+    for r in wanted.groupBy(F.pmod(place, F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        bits[r["word"]] = r["bits"]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column("cls").to_pylist()
-            for run in runs(batch.column("text")):
-                rows = [(set_id(s), s) for s in shingle_sets(run)]
-                rows = [(c, s) for k, (c, s) in enumerate(rows) if c == (want[run.first + k]["a"], want[run.first + k]["b"])]
-                yield pa.record_batch({"cls": _structs([c[0] for c, _ in rows], [c[1] for c, _ in rows]), "shingles": pa.array([s.tobytes() for _, s in rows], pa.binary())})
+            h = batch.column("place").to_numpy()
+            held = (bits[h % words] >> (h >> 32) % 64) & 1 == 1
+            for run in runs(batch.column("text").filter(pa.array(held))):
+                rows = [(set_id(x), x) for x in shingle_sets(run) if len(x)]
+                yield pa.record_batch({"cls": _structs([c[0] for c, _ in rows], [c[1] for c, _ in rows]), "shingles": pa.array([x.tobytes() for _, x in rows], pa.binary())})
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "cls")
-    return texts.mapInArrow(collect, f"cls {CLASS}, shingles binary").dropDuplicates(["cls"])
+    found = docs.select(place.alias("place"), "text").mapInArrow(collect, f"cls {CLASS}, shingles binary")
+    return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """x, y: links that connect the classes exactly as all pairs at or above the similarity would."""
-    keys = keyed(classes, relaxed(percent))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = shared.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    members = keys.join(shared, "key").join(classes.select("cls", "n_shingles", "signature"), "cls")
+    size = F.count("*").over(Window.partitionBy("key"))
+    shared = keyed(classes, relaxed(percent)).withColumn("size", size).where("size > 1")
+    shared = shared.select("key", "cls", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    members = shared.join(classes.select("cls", "n_shingles", "signature"), "cls")
     near = stored(_near_pairs(members, percent), "near").groupBy("x", "y").agg(F.min("distance").alias("distance"))
     near = stored(near, "near")
 
