@@ -12,19 +12,22 @@ table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
+from .wordids import byte_ranks
 
-#: Distinct words whose ids a worker remembers; more only means that some are worked out again.
-MEMORY_WORDS = 1_200_000
+#: How byte-level vocabularies of this kind part a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @dataclass(frozen=True)
@@ -39,62 +42,23 @@ class Capacity:
     cost: int = 2048 * 2048
 
 
-class WordIds:
-    """Ids of texts, with the ids of words remembered.
+class ByteIds:
+    """Ids of texts under a byte-level vocabulary: the file's merges by rank, which tiktoken's core does in one pass.
 
-    A byte-level vocabulary parts a text before a space that a non-space follows, and around a line
-    break between two non-spaces. Where no two white-space characters meet, words can therefore
-    be encoded one by one; other texts are encoded whole.
+    Nothing is remembered from text to text. Strings of special tokens in a text are ordinary text.
     """
 
-    #: White space other than a space and a line feed.
-    _others = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
-
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.space, self.line = self.encode([" ", "\n"])
-        self.break_id = int.from_bytes(self.line, "little")
-        #: Ids of " word" under "word", and of "\nword" under "\nword".
-        self.memory: dict[str, bytes] = {"": self.space, "\n": self.line}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _plain(self, text: str) -> bool:
-        """Whether no two white-space characters meet and none is of another kind."""
-        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in self._others))
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > MEMORY_WORDS:
-            self.memory = {"": self.space, "\n": self.line}
-            new = [w for w in words if w not in self.memory]
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for heads, before, first in ((False, " ", b""), (True, "", self.line)):
-                own = [w for w in part if (w[0] == "\n") == heads]
-                if own:
-                    # one text for many words: no word holds a line break, and a break's id stands for nothing else
-                    joined = "\n".join(before + w.removeprefix("\n") for w in own)
-                    ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-                    edges = [-1, *np.flatnonzero(ids == self.break_id).tolist(), len(ids)]
-                    self.memory.update((w, first + ids[i + 1 : j].tobytes()) for w, i, j in zip(own, edges[:-1], edges[1:], strict=True))
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        self.core = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=byte_ranks(vocabulary, None), special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [self._plain(t) for t in texts]
-        whole = iter(self.encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        # with a line break set before it, a text is a row of words that begin with a space or a break
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if p else None for t, p in zip(texts, plain, strict=True)]
-        self._learn(set().union(*(words for words in split if words is not None)))
-        ids = self.memory.__getitem__
-        return [next(whole) if words is None else b"".join(map(ids, words))[len(self.line) :] for words in split]
+        return [np.array(self.core.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[str, ByteIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
@@ -102,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordIds(tokenizer)
+            _encoders[tokenizer] = ByteIds(tokenizer)
         encode = _encoders[tokenizer]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -127,8 +91,10 @@ def plan(counts: dict[int, int], capacity: Capacity, score: str = "dot") -> list
     The pieces of a length with ranks first.. go one each to the sequences from the first on, at that
     offset. Sequences with equal contents are one kind, so the work follows the number of
     lengths. ``score`` selects among the kinds that a piece fits under every capacity: "dot" takes the
-    largest dot product of demand and residual, both as shares of the capacities and weighted by
+    smallest dot product of demand and residual, both as shares of the capacities and weighted by
     the total demand; "norm" takes the smallest weighted norm of what would be left. Ties go to the fuller kind.
+    Pieces come in falling length, so the smallest product, the least room for a piece of this shape, is the best fit; the
+    largest one would spread the pieces over the emptiest sequences.
     """
     limit = np.array([capacity.tokens, capacity.documents, capacity.cost], np.float64)
     lengths = sorted(counts, reverse=True)
@@ -157,7 +123,6 @@ def plan(counts: dict[int, int], capacity: Capacity, score: str = "dot") -> list
             if len(fits):
                 share = residual[fits] / limit
                 after = share - need / limit
-                # what is left of the tokens decides first: a sequence is worth most when it gets full
                 value = -(after**2 @ weight) if score == "norm" else -((share * (need / limit)) @ weight)
                 best = int(fits[np.lexsort((after[:, 0], -value))[0]])
                 n = min(left, int(room[best]))

@@ -22,12 +22,13 @@ MEMORY_WORDS = 1_200_000
 END = "</w>"
 
 
-def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+def byte_ranks(vocabulary: dict[str, int], end_of_word: str | None = END) -> dict[bytes, int]:
     """The vocabulary's tokens as bytes with their ranks, an end of word as 0xFF."""
     alphabet = _byte_alphabet()
     out = {}
     for token, rank in vocabulary.items():
-        body, end = (token[: -len(END)], b"\xff") if token.endswith(END) and len(token) > len(END) else (token, b"")
+        ended = end_of_word is not None and token.endswith(end_of_word) and token != end_of_word
+        body, end = (token.removesuffix(end_of_word), b"\xff") if ended else (token, b"")
         if all(c in alphabet for c in body):
             out[bytes(alphabet[c] for c in body) + end] = rank
     return out
