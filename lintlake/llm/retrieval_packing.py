@@ -103,6 +103,12 @@ def term_statistics(tokens: DataFrame, size: int, dtype: np.dtype) -> Terms:
     return Terms(np.log1p((n - holders + 0.5) / (holders + 0.5)), (total or 0) / max(1, n))
 
 
+def _heaviest(weight: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The place of each document's largest weight, the first of several."""
+    at = np.flatnonzero(weight == np.maximum.reduceat(weight, starts)[doc])
+    return at[np.searchsorted(doc[at], np.arange(len(starts)))]
+
+
 def led(tokens: DataFrame, terms: Terms, dtype: np.dtype) -> DataFrame:
     """The rows with their two leading terms; the closing id, which all share, leads where there is no other."""
     size = len(terms.rarity)
@@ -111,11 +117,11 @@ def led(tokens: DataFrame, terms: Terms, dtype: np.dtype) -> DataFrame:
         for part, ids in _runs(batches, dtype):
             doc, term, count = _groups(ids, size)
             weight = terms.weights(term, count, np.array([len(x) for x in ids])[doc])
-            order = np.lexsort((-term, weight, doc))
-            term = term[order]
-            last = np.cumsum(np.bincount(doc, minlength=len(ids))) - 1
-            before = np.maximum(last - 1, np.append(0, last[:-1] + 1))
-            yield pa.record_batch([*part.columns, pa.array(term[last], pa.int32()), pa.array(term[before], pa.int32())], names=[*part.schema.names, "lead", "second"])
+            starts = np.searchsorted(doc, np.arange(len(ids)))
+            first = _heaviest(weight, doc, starts)
+            weight[first] = -1.0  # a document of one term leads with it twice
+            second = _heaviest(weight, doc, starts)
+            yield pa.record_batch([*part.columns, pa.array(term[first], pa.int32()), pa.array(term[second], pa.int32())], names=[*part.schema.names, "lead", "second"])
 
     return tokens.mapInArrow(lead, "doc_id long, ids binary, n_ids long, lead int, second int")
 
