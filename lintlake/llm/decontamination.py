@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, Run, _BYTE_VALUES, mix, powers, runs, span_hashes
-from .tables import stored
+from .tables import free_name, stored
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 WINDOW = 20
@@ -198,6 +198,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark text, with their own columns."""
-    leaks = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked"]), "left_anti")
+    """The documents that hold no benchmark text, with their own columns.
+
+    Rows that share an id, or have none, are told apart by their text.
+    """
+    name = free_name(docs, "leaked")
+    marked = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    leaks = contaminated(marked, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, F.xxhash64(docs["doc_id"], docs["text"]) == leaks[name], "left_anti")

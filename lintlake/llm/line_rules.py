@@ -155,8 +155,10 @@ def without_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS,
         .groupBy("host", "content").agg(F.collect_list("line").alias("gone"))
     )  # a list holds lines of one text only
     gone = rows.select("doc_id", "host", "content").join(lists, ["host", "content"]).groupBy("doc_id", "host").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    name, host = free_name(docs, "gone"), F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("")))
-    joined = docs.join(gone.select(F.col("doc_id").alias("__id"), "host", F.col("gone").alias(name)), docs["doc_id"].eqNullSafe(F.col("__id")) & (host == F.col("host")), "left")
+    name, own_id, own_host = (free_name(docs, n) for n in ("gone", "gone_id", "gone_host"))
+    host = F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("")))
+    named = gone.select(F.col("doc_id").alias(own_id), F.col("host").alias(own_host), F.col("gone").alias(name))
+    joined = docs.join(named, docs["doc_id"].eqNullSafe(F.col(own_id)) & (host == F.col(own_host)), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], name)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,14 +33,17 @@ from .boosting import Trees, fit
 TRAIN_PAGES = 300
 TEMPLATE_PAGES = 700
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: What stands between a tag's name and its end, read once from left to right: a value in quotes, unless its quote has no
+#: mate before the next tag or none that ends a value; a value without; a name. An opening angle ends it.
+_REST = r"""(?:[\s/]++|=\s*+"[^"<]*+"|=\s*+"[^"]*+"(?=[\s/>])|=\s*+'[^'<]*+'|=\s*+'[^']*+'(?=[\s/>])|=\s*+[^\s<>]*+|[^\s/=<>]++)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})>|<[!?][^<>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Plain text up to the closing tag, or to the end of the page.
 _TEXT = {"script", "style", "textarea", "title", "iframe"}
 #: Left out with all they hold if they are closed; a tag that isn't is ignored.
 _CONTROLS = {"svg", "select", "button", "video", "audio", "canvas"}
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _TEXT}
-_EDGES = {name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<text>{'|'.join(sorted(_TEXT))})(?=[\s/>]).*?(?:</(?P=text)(?=[\s/>])|\Z)|<(?P<close>/?){name}(?=[\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for name in _CONTROLS}
+_EDGES = {name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<text>{'|'.join(sorted(_TEXT))})(?=[\s/>]).*?(?:</(?P=text)(?=[\s/>])|\Z)|<(?P<close>/?){name}(?=[\s/>])(?P<rest>{_REST})>", re.I | re.S) for name in _CONTROLS}
 _BLOCKS = {
     "html", "head", "body", "div", "p", "article", "main", "section", "header", "footer", "nav", "aside", "form", "fieldset", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead",
     "tbody", "tr", "td", "th", "caption", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "hr", "center", "menu",
@@ -112,8 +115,6 @@ class Page:
 
         while at < end:
             m = match(text, at)
-            if m is None:  # a tag that never ends
-                break
             at = m.end()
             plain = m[4]
             if plain is not None:

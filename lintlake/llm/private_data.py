@@ -376,18 +376,19 @@ def redact(docs: DataFrame, rows: int = TRAIN_CANDIDATES) -> DataFrame:
         return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(own)))
 
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, kind: string>>)")
-    merged = _per_text(spans(docs, rows)).select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"), F.aggregate("all", none, merge).alias("__merged"))
-    joined = docs.join(merged, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_class(docs["text"]) == F.col("__cls")), "left")
+    own_id, own_text, held = (free_name(docs, n) for n in ("found_id", "found_text", "found"))
+    merged = _per_text(spans(docs, rows)).select(F.col("doc_id").alias(own_id), F.col("cls").alias(own_text), F.aggregate("all", none, merge).alias(held))
+    joined = docs.join(merged, docs["doc_id"].eqNullSafe(F.col(own_id)) & (text_class(docs["text"]) == F.col(own_text)), "left")
     text = docs["text"]
 
     def rest(x: Column, i: Column) -> Column:
-        after = F.get(F.col("__merged"), i + 1)["start"]
+        after = F.get(F.col(held), i + 1)["start"]
         left = F.coalesce(after, F.length(text).cast("long")) - x["end"]
         label = F.concat(F.lit("["), F.upper(F.replace(x["kind"], F.lit("model_"))), F.lit("]"))
         return F.concat(label, text.substr((x["end"] + 1).cast("int"), left.cast("int")))
 
-    first = text.substr(F.lit(1), F.get(F.col("__merged"), F.lit(0))["start"].cast("int"))
-    new = F.when(F.col("__merged").isNull(), text).otherwise(F.concat(first, F.array_join(F.transform("__merged", rest), "")))
+    first = text.substr(F.lit(1), F.get(F.col(held), F.lit(0))["start"].cast("int"))
+    new = F.when(F.col(held).isNull(), text).otherwise(F.concat(first, F.array_join(F.transform(held, rest), "")))
     named = free_name(docs, "redacted")
     out = joined.select(*[docs[c] for c in docs.columns], new.alias(named))
     change = {"text": F.col(named), "n_chars": F.when(F.col("text").isNotNull(), F.length(named).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
