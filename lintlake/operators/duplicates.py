@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,46 +56,122 @@ def _windows(kept: Column, size: int) -> Column:
     )
 
 
-def _spaced_repeats(size: int):
-    """Repeats in line order, leaving out those within ``size`` lines of the last one kept.
+def _first_places(windows: Column) -> Column:
+    """Runs that occurred before, as (line_no, first_line) in line order.
 
-    That choice depends on all earlier ones. A fold with the built-in ``aggregate``
-    copies its list at every step, so this one step runs over Arrow batches; files
-    without a repeat pass NULL.
+    Sorting brings equal signatures together; each stretch of them starts with the earliest.
     """
 
-    @F.pandas_udf(REPEATS)
-    def spaced(lines: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(numbers, first_hash, second_hash):
-            if numbers is None:
-                return None
-            seen, kept, last = {}, [], -size
-            for number, signature in zip(numbers.tolist(), zip(first_hash.tolist(), second_hash.tolist())):
-                first = seen.setdefault(signature, number)
-                if first != number and number - last >= size:
-                    kept.append({"line_no": number, "first_line": first})
-                    last = number
-            return kept
+    def of_stretches(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda k: (k == 0)
+            | (F.get(ordered, k)["a"] != F.get(ordered, k - 1)["a"])
+            | (F.get(ordered, k)["b"] != F.get(ordered, k - 1)["b"]),
+        )
+        later = let(
+            starts,
+            lambda start: F.transform(
+                start,
+                lambda s, j: let(
+                    F.get(ordered, s)["line_no"],
+                    lambda first: F.transform(
+                        F.slice(ordered, s + 2, F.coalesce(F.get(start, j + 1), F.size(ordered)) - s - 1),
+                        lambda x: F.struct(x["line_no"].alias("line_no"), first.alias("first_line")),
+                    ),
+                ),
+            ),
+        )
+        return F.sort_array(F.flatten(later))
+
+    signed = F.transform(
+        windows["a"],
+        lambda a, i: F.struct(
+            a.alias("a"), F.get(windows["b"], i).alias("b"), F.get(windows["line_no"], i).alias("line_no")
+        ),
+    )
+    return let(F.sort_array(signed), of_stretches)
+
+
+def _spaced(found: Column, size: int) -> Column:
+    """Of ``found``, in line order, those at least ``size`` lines after the last one kept.
 
-        return pd.Series([one(*row) for row in zip(lines, a, b)], dtype=object)
+    That choice depends on all earlier ones, but not across a gap of ``size`` lines: the run after
+    such a gap is always kept. From a run the next one kept is at most ``size`` places away, so the
+    choice is a chain of jumps. Each round doubles their length and the number of runs reached,
+    so n runs take log n rounds and no list grows step by step.
+    """
+
+    def jump(i: Column) -> Column:
+        far = [
+            F.when(F.get(found, i + k)["line_no"] - F.get(found, i)["line_no"] >= size, i + k)
+            for k in range(1, size + 1)
+        ]
+        return F.coalesce(*far)
+
+    places = F.sequence(F.lit(0), F.size(found) - 1)
+    islands = F.filter(
+        places,
+        lambda i: (i == 0) | (F.get(found, i)["line_no"] - F.get(found, i - 1)["line_no"] >= size),
+    )
 
-    # Keeps filters on the result above the call; pushed below, Spark cannot run it.
-    return spaced.asNondeterministic()
+    def within(start: Column, end: Column) -> Column:
+        """Places kept of one island, those from ``start`` to before ``end``."""
+        state = F.struct(
+            F.transform(
+                F.sequence(start, end - 1), lambda i: let(jump(i), lambda j: F.when(j < end, j - start))
+            ).alias("next"),
+            F.array(F.lit(0)).alias("kept"),
+        ).cast("struct<next: array<int>, kept: array<int>>")
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2((end - start).cast("double"))).cast("int"))
+        reached = F.aggregate(
+            rounds,
+            state,
+            lambda s, _: F.struct(
+                F.transform(s["next"], lambda i: F.get(s["next"], i)).alias("next"),
+                F.concat(
+                    s["kept"],
+                    F.filter(F.transform(s["kept"], lambda i: F.get(s["next"], i)), lambda i: i.isNotNull()),
+                ).alias("kept"),
+            ).cast("struct<next: array<int>, kept: array<int>>"),
+            lambda s: s["kept"],
+        )
+        return F.transform(reached, lambda i: i + start)
+
+    kept = let(
+        islands,
+        lambda start: F.flatten(
+            F.transform(
+                start,
+                lambda s, j: let(
+                    F.coalesce(F.get(start, j + 1), F.size(found)),
+                    lambda end: F.when(end - s == 1, F.array(s)).otherwise(within(s, end)),
+                ),
+            )
+        ),
+    )
+    return F.transform(kept, lambda i: F.get(found, i))
 
 
 def with_repeats(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
     """``files`` with ``repeats``: the reported repeats of each file, NULL if it has none.
 
-    Hashing and the test for any repeat stay in the file's row and nothing is shuffled;
-    a file is at most 5 MiB.
+    All of it stays in the file's row and in the JVM: nothing is shuffled, no text goes to Python.
     """
     size = max(block_size, 2)
     windows = let(_kept_lines(F.col("content")), lambda kept: _windows(kept, size))
-    w = F.col("windows")
-    spaced = _spaced_repeats(size)(w["line_no"], w["a"], w["b"])
-    return files.withColumn("windows", windows).withColumn("repeats", spaced).drop("windows")
+    repeats = let(
+        windows,
+        lambda w: F.when(
+            w.isNotNull(),
+            let(_first_places(w), lambda found: F.when(F.size(found) > 0, _spaced(found, size))),
+        ),
+    )
+    return files.withColumn("repeats", repeats.cast(REPEATS))
 
 
 def duplicate_blocks(files: DataFrame, block_size: int = V.DUPLICATE_BLOCK) -> DataFrame:
     """Repeats of every file: project, path, line_no of the repeat, first_line of the block."""
-    return with_repeats(files, block_size).select("project", "path", F.inline("repeats"))
+    # ``inline`` would test its array in a filter below it, and so compute the array twice.
+    found = with_repeats(files, block_size).select("project", "path", F.inline_outer("repeats"))
+    return found.where(F.col("line_no").isNotNull())

@@ -186,7 +186,9 @@ def _one_pass(files: DataFrame, config: ScanConfig, file_rows: bool) -> DataFram
     if not guards:
         return files.sparkSession.createDataFrame([], f"{FINDINGS}, lines INT")
 
-    rows = files.select("project", "path", "language", "lines", F.posexplode(parts).alias("line_no", "part"))
+    # Every file has row 0. The outer form only keeps the optimizer from computing the array twice, once to test its size.
+    parted = F.posexplode_outer(parts).alias("line_no", "part")
+    rows = files.select("project", "path", "language", "lines", parted)
     if config.duplicate_code:
         rows = rows.select("project", "path", "language", "lines", "line_no", "part.*")
     else:

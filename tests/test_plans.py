@@ -33,12 +33,13 @@ def test_imports_do_not_shuffle(spark):
 
 
 def test_duplicates_do_not_shuffle(spark):
-    assert "Exchange" not in plan(DU.duplicate_blocks(docs(spark)))
+    text = plan(DU.duplicate_blocks(docs(spark)))
+    assert "Exchange" not in text and "EvalPython" not in text
 
 
 def test_the_whole_scan_is_one_pass(spark):
     text = plan(SC.project_scores(RU.scan_rows(docs(spark))))
-    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "EvalPython" not in text
 
 
 def test_scores_shuffle_only_counts(spark):
