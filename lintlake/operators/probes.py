@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions.codelines import is_traversal
 from ..functions.text import ascii_lower, let, literal_array, lower_contains_any
 from ..functions.urls import absolute_url, resolve_target, url_parts
-from ..schemas import EXPECTATIONS, MUTATIONS, PROBE_CASES
+from ..schemas import EXPECTATIONS, MUTATIONS, PROBE_CASES, REQUEST_FIELDS
 
 
 def seed_cases(spark: SparkSession, project: str) -> DataFrame:
@@ -118,8 +118,9 @@ def check_expectation(name: Column) -> Column:
 def expand_cases(cases: DataFrame) -> DataFrame:
     """Cases with checks folded in and one row per input variant.
 
-    ``variant_id`` is the case id for an unvaried case. Expansion happens inside the
-    row; nothing is joined or shuffled.
+    ``variant_id`` is the case id for an unvaried case. The result always has ``fields``, the typed
+    fields of the request in order: those of the case, or else its ``send``. Expansion happens inside
+    the row; nothing is joined or shuffled.
     """
     none = F.array().cast(EXPECTATIONS)
     folded = cases.withColumn(
@@ -153,6 +154,8 @@ def expand_cases(cases: DataFrame) -> DataFrame:
             F.transform(m["generators"], lambda g, gi: variants_of(m, mi, g, gi))
         ),
     )
+    untyped = typed_fields(F.col("send"))
+    folded = folded.withColumn("fields", F.coalesce("fields", untyped) if "fields" in cases.columns else untyped)
     one = folded.withColumn("variant", F.explode_outer(F.flatten(per_field))).drop("mutations")
     v = F.col("variant")
     varied = v.isNotNull()
@@ -162,6 +165,11 @@ def expand_cases(cases: DataFrame) -> DataFrame:
         F.map_contains_key(send, v["field"]),
         F.transform_values(send, lambda k, old: F.when(k == v["field"], v["value"]).otherwise(old)),
     ).otherwise(F.map_concat(send, F.create_map(F.coalesce(v["field"], F.lit("")), v["value"])))
+    value = F.struct(v["field"].alias("name"), v["value"].alias("value"), F.lit(False).alias("bare"))
+    retyped = F.when(
+        F.exists("fields", lambda f: f["name"] == v["field"]),
+        F.transform("fields", lambda f: F.when(f["name"] == v["field"], value).otherwise(f)),
+    ).otherwise(F.concat("fields", F.array(value).cast(REQUEST_FIELDS)))
     return one.withColumns(
         {
             "variant_id": F.when(varied, F.concat("case_id", F.lit("#"), v["at"])).otherwise(F.col("case_id")),
@@ -170,6 +178,7 @@ def expand_cases(cases: DataFrame) -> DataFrame:
                 F.concat("name", F.lit(" ["), v["field"], F.lit("="), v["label"], F.lit("]")),
             ).otherwise(F.col("name")),
             "send": F.when(varied, replaced).otherwise(send),
+            "fields": F.when(varied, retyped).otherwise(F.col("fields")),
         }
     ).drop("variant")
 
@@ -183,21 +192,46 @@ def _json_text(c: Column) -> Column:
     return c
 
 
+def typed_fields(send: Column, bare_fields: Column | None = None) -> Column:
+    """``send`` as typed fields, of which ``bare_fields`` are numbers or booleans; none for NULL."""
+
+    def field(e):
+        bare = F.lit(False) if bare_fields is None else F.array_contains(bare_fields, e["key"])
+        return F.struct(e["key"].alias("name"), e["value"].alias("value"), bare.alias("bare"))
+
+    return F.coalesce(F.transform(F.map_entries(send), field).cast(REQUEST_FIELDS), F.array().cast(REQUEST_FIELDS))
+
+
+def fields_body(fields: Column) -> Column:
+    """Compact JSON object of typed fields, in their order; a name that occurs twice is written twice."""
+
+    def pair(f):
+        quoted = F.concat(F.lit('"'), _json_text(f["value"]), F.lit('"'))
+        return F.concat(F.lit('"'), _json_text(f["name"]), F.lit('":'), F.when(f["bare"], f["value"]).otherwise(quoted))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(fields, pair), ","), F.lit("}"))
+
+
 def json_body(send: Column, bare_fields: Column | None = None) -> Column:
     """Compact JSON object of the fields; ``bare_fields`` are numbers or booleans."""
+    return fields_body(typed_fields(send, bare_fields))
 
-    def pair(e):
-        quoted = F.concat(F.lit('"'), _json_text(e["value"]), F.lit('"'))
-        value = quoted if bare_fields is None else F.when(
-            F.array_contains(bare_fields, e["key"]), e["value"]
-        ).otherwise(quoted)
-        return F.concat(F.lit('"'), _json_text(e["key"]), F.lit('":'), value)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(send), pair), ","), F.lit("}"))
+def sends_body() -> Column:
+    return (F.size("fields") > 0) | F.col("payload").isNotNull()
 
 
-def sends_body() -> Column:
-    return (F.size("send") > 0) | F.col("payload").isNotNull()
+def request_headers(session: Column) -> Column:
+    """Headers in sending order as (name, value): the one a text payload implies, then the case's own.
+
+    A login sends none.
+    """
+    pairs = "ARRAY<STRUCT<name: STRING, value: STRING>>"
+    none = F.array().cast(pairs)
+    plain = F.struct(F.lit("Content-Type").alias("name"), F.lit("text/plain").alias("value"))
+    implied = F.when((F.size("fields") == 0) & F.col("payload").isNotNull(), F.array(plain).cast(pairs)).otherwise(none)
+    own = F.coalesce(F.map_entries("headers").cast(pairs), none)
+    return F.when(session, none).otherwise(F.concat(implied, own))
 
 
 def is_session_flow() -> Column:
@@ -213,7 +247,7 @@ def issue_class() -> Column:
     """Issue id of an expanded case, by the first class that fits."""
     limited = F.exists("expectations", lambda e: e["kind"] == "blocked_after")
     in_send = F.exists(
-        F.map_values("send"), lambda v: lower_contains_any(v, V.SQLI_VALUE_WORDS)
+        "fields", lambda f: lower_contains_any(f["value"], V.SQLI_VALUE_WORDS)
     )
     in_message = F.coalesce(
         lower_contains_any(F.col("message"), V.SQLI_MESSAGE_WORDS), F.lit(False)
@@ -230,7 +264,9 @@ def issue_class() -> Column:
 def request_plan(
     expanded: DataFrame, base_url: str = V.DEFAULT_BASE_URL, max_requests: int | None = None
 ) -> DataFrame:
-    """Expanded cases with method, URL, body, request cap and issue class.
+    """Expanded cases with method, URL, headers, body, request cap and issue class.
+
+    A login sends its fields and then the user it logs in as, if ``login_user`` names one.
 
     A case asks for as many requests as it repeats, of which ``max_requests`` are kept if given.
     """
@@ -239,13 +275,19 @@ def request_plan(
     session = is_session_flow()
     target = F.when(session, F.coalesce("target", F.lit(V.DEFAULT_LOGIN_TARGET))).otherwise(F.col("target"))
     url = absolute_url(url_parts(resolve_target(F.lit(base_url), target)))
-    body = F.when(F.size("send") > 0, json_body(F.col("send"))).otherwise(F.col("payload"))
+    body = F.when(F.size("fields") > 0, fields_body(F.col("fields"))).otherwise(F.col("payload"))
+    login = F.col("fields")
+    if "login_user" in expanded.columns:
+        user = F.struct(F.lit("username").alias("name"), F.col("login_user").alias("value"), F.lit(False).alias("bare"))
+        acts = F.coalesce(F.array_contains("actions", "login"), F.lit(False)) & F.col("login_user").isNotNull()
+        login = F.when(acts, F.concat(login, F.array(user).cast(REQUEST_FIELDS))).otherwise(login)
     return expanded.withColumns(
         {
             "session": session,
             "url": url,
             "http_method": F.when(session, F.lit("POST")).otherwise(F.coalesce("method", implied)),
-            "body": F.when(session, json_body(F.col("send"))).otherwise(body),
+            "request_headers": request_headers(session),
+            "body": F.when(session, fields_body(login)).otherwise(body),
             "request_cap": wanted if max_requests is None else F.least(wanted, F.lit(max_requests)),
             "issue_id": issue_class(),
         }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import literal_array
 from ..sources.corpus import corpus_from_table
+from ..schemas import REQUEST_FIELDS
 from .sizing import computed_once, spread
 
 
@@ -518,6 +519,9 @@ def probe_cases(spark: SparkSession, sf_dir: str, mutated: bool = False) -> Data
             F.lit(expected).cast("boolean").alias("expected"),
         )
 
+    def field(name, value, bare=False):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(bare).alias("bare"))
+
     none_map = F.create_map().cast("map<string,string>")
     mutation = "array<struct<field:string,generators:array<string>>>"
 
@@ -548,7 +552,19 @@ def probe_cases(spark: SparkSession, sf_dir: str, mutated: bool = False) -> Data
             },
             none_map,
         ).alias("send"),
-        none_map.alias("headers"),
+        by_kind(
+            {
+                "signup": F.array(
+                    field("user", F.concat(F.lit("u"), F.col("user_id").cast("string"))),
+                    field("age", (F.col("user_id") % 90).cast("string"), bare=True),
+                    field("terms", (eid % 2 == 0).cast("string"), bare=True),
+                )
+            },
+            F.lit(None).cast(REQUEST_FIELDS),
+        ).alias("fields"),
+        F.when(eid % 6 == 0, F.create_map(F.lit("X-Trace"), F.concat(F.lit("t"), eid.cast("string"))))
+        .otherwise(none_map).alias("headers"),
+        F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("login_user"),
         F.when(kind == "click", F.when(eid % 3 == 0, F.lit("plain")).otherwise(F.lit("../../etc/passwd"))).alias("payload"),
         F.when(eid % 97 == 0, F.lit(120)).otherwise((eid % 12 + 1).cast("int")).alias("repeat"),
         F.when(kind == "purchase", F.array(F.lit("login"))).otherwise(nothing).alias("actions"),

@@ -573,7 +573,11 @@ SELECT c.case_id, c.case_id || coalesce('#' || v.pos, '') AS variant_id,
 FROM cases c LEFT JOIN variants v ON v.kind = c.kind"""),
     "request_plans": _with(D.SQL_RESPONSES, body=f"""
 SELECT case_id, {_METHOD} AS http_method, {_URL} AS url,
-       CASE WHEN kind IN ('signup', 'error') THEN {_SEND} WHEN kind = 'purchase' THEN '{{}}'
+       CASE WHEN kind = 'purchase' THEN '' ELSE concat_ws('; ', CASE WHEN kind = 'click' THEN 'Content-Type: text/plain' END,
+         CASE WHEN event_id % 6 = 0 THEN 'X-Trace: t' || event_id END) END AS headers,
+       CASE WHEN kind = 'signup' THEN '{{"user":"u' || user_id || '","age":' || (user_id % 90) || ',"terms":' || (event_id % 2 = 0) || '}}'
+            WHEN kind = 'error' THEN {_SEND}
+            WHEN kind = 'purchase' THEN CASE WHEN user_id % 3 <> 0 THEN '{{"username":"user' || user_id || '"}}' ELSE '{{}}' END
             WHEN kind = 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'plain' ELSE '../../etc/passwd' END END AS body,
        CASE WHEN event_id % 97 = 0 THEN 120 ELSE (event_id % 12 + 1)::INT END AS request_cap, {_ISSUE} AS issue_id
 FROM cases"""),

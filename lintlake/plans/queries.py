@@ -454,7 +454,10 @@ def mutation_expand(spark, d):
 @query
 def request_plans(spark, d):
     plans = PR.request_plan(PR.expand_cases(D.probe_cases(spark, d)))
-    return plans.select("case_id", "http_method", "url", "body", "request_cap", "issue_id")
+    lines = F.transform("request_headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
+    return plans.select(
+        "case_id", "http_method", "url", F.array_join(lines, "; ").alias("headers"), "body", "request_cap", "issue_id"
+    )
 
 
 @query

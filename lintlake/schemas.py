@@ -32,6 +32,10 @@ EXPECTATIONS = (
 )
 MUTATIONS = "ARRAY<STRUCT<field: STRING, generators: ARRAY<STRING>>>"
 
+# The ordered fields of a request; a bare value is a number or a boolean and goes without quotes.
+REQUEST_FIELDS = "ARRAY<STRUCT<name: STRING, value: STRING, bare: BOOLEAN>>"
+
+# Cases may also have ``fields`` (REQUEST_FIELDS), which then stand for ``send``, and ``login_user STRING``.
 PROBE_CASES = (
     "project STRING, case_id STRING, suite STRING, name STRING, method STRING, target STRING, "
     "send MAP<STRING, STRING>, headers MAP<STRING, STRING>, payload STRING, repeat INT, "

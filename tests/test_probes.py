@@ -108,6 +108,32 @@ def test_json_body(spark):
     assert sorted(got[1:-1].split(",")) == sorted(['"q":"a\\"b\\\\\\n\\tc"', '"n":5', '"b":true'])
 
 
+def test_typed_fields_login_user_and_implied_headers(spark):
+    from lintlake.schemas import REQUEST_FIELDS
+
+    fields = [("n", "5", True), ("q", 'a"b', False), ("ok", "true", True), ("n", "6", True)]
+    table = cases(
+        spark, typed=dict(send={"n": "x"}), text=dict(payload="raw", headers={"A": "1"}), both=dict(payload="raw", send={"a": "b"}),
+        login=dict(actions=["login"], payload="raw"), expects=dict(expectations=[("named", None, None, "session_invalidated", True)]),
+        varied=dict(mutations=[("q", ["empty"]), ("new", ["empty"])]),
+    )
+    typed = F.when(F.col("case_id").isin("typed", "login", "varied"), F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), F.lit(b).alias("bare")) for n, v, b in fields
+    ])).cast(REQUEST_FIELDS)
+    extra = table.withColumns({"fields": typed, "login_user": F.lit("test")})
+    got = {r.variant_id: (r.body, [tuple(h) for h in r.request_headers]) for r in PR.request_plan(PR.expand_cases(extra)).collect()}
+    body = '"n":5,"q":"a\\"b","ok":true,"n":6'
+    assert got["typed"] == ("{" + body + "}", [])
+    assert got["text"] == ("raw", [("Content-Type", "text/plain"), ("A", "1")])
+    assert got["both"] == ('{"a":"b"}', [])
+    assert got["login"] == ("{" + body + ',"username":"test"}', [])
+    assert got["expects"] == ("{}", [])
+    varied = sorted(v[0] for k, v in got.items() if k.startswith("varied"))
+    assert varied == ["{" + body.replace('a\\"b', "") + "}", "{" + body + ',"new":""}']
+    plain = PR.request_plan(PR.expand_cases(table)).where("variant_id = 'login'").first()
+    assert plain.body == "{}"
+
+
 def test_request_shape(spark):
     table = cases(spark, get={}, post=dict(send={"a": "b"}), raw=dict(payload="x", method="PUT", target="http://h:81/z"),
                   many=dict(repeat=500), zero=dict(repeat=0), login=dict(target=None, actions=["login"]), bad=dict(target="http://:80/x"))
