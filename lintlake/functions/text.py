@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import MIN_SIGNIFICANT_BYTES, WHITESPACE
@@ -21,6 +21,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(df: DataFrame, kept: Sequence[str], array: Column, *names: str, numbered: bool = False) -> DataFrame:
+    """``kept`` columns with a row per element of ``array``: its number from 0 if wanted, then its value or fields.
+
+    The last of ``names`` is never NULL in an element. The optimizer tests the size of the array of a plain ``explode``
+    in a filter below it, and so computes the array twice; it does not for the outer form, whose empty rows go here.
+    """
+    if numbered:
+        made = F.posexplode_outer(array).alias(*names)
+    elif len(names) > 1:
+        made = F.inline_outer(array)
+    else:
+        made = F.explode_outer(array).alias(*names)
+    return df.select(*kept, made).where(F.col(names[-1]).isNotNull())
+
+
 def literal_array(values: Iterable[str]) -> Column:
     """Array of string literals, parsed in one call instead of one per value."""
     quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.imports import imported_modules, path_idents
-from ..functions.text import normalize_name, split_lines
+from ..functions.text import exploded, normalize_name, split_lines
 from ..plans.sizing import computed_once
 from ..sources.manifests import declared_dependencies
 
@@ -24,7 +24,7 @@ def file_imports(files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame) -> DataFrame:
     """One row per file and imported module."""
     imports = imported_modules(F.col("language"), split_lines(F.col("content")))
-    return files.select("project", "path", F.explode(imports).alias("module"))
+    return exploded(files, ["project", "path"], imports, "module")
 
 
 def usage_index(files: DataFrame) -> DataFrame:

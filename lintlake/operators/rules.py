@@ -194,7 +194,8 @@ def _one_pass(files: DataFrame, config: ScanConfig, file_rows: bool) -> DataFram
     else:
         rows = rows.withColumnRenamed("part", "text")
     found = F.concat(F.array_compact(F.array(*hits)) if hits else F.array().cast(_HITS), *lists)
-    return rows.where(reduce(lambda a, b: a | b, guards)).select("project", "path", F.inline(found))
+    hit = rows.where(reduce(lambda a, b: a | b, guards)).select("project", "path", F.inline_outer(found))
+    return hit.where(F.col("rule").isNotNull() | F.col("lines").isNotNull())
 
 
 def line_findings(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codelines import is_sanitized, reaches_sink
-from ..functions.text import ascii_lower, is_any_comment
+from ..functions.text import ascii_lower, exploded, is_any_comment
 from .scoring import severity_of_word
 
 #: Characters of an indexed piece; clauses that are shorter are pieces themselves.
@@ -120,7 +120,7 @@ def _with_pieces(code: DataFrame, found: DataFrame) -> DataFrame:
     """The lines with a row for each distinct piece that passes the filter."""
     once = found.select(F.struct("*")).scalar()
     every = [F.regexp_extract_all("low", once[f"pattern{n}"], F.lit(1)) for n in range(PIECE + 1)]
-    rows = code.select("*", F.explode(F.array_distinct(F.concat(*every))).alias("piece"))
+    rows = exploded(code, ["*"], F.array_distinct(F.concat(*every)), "piece")
     word = F.get(once["bits"], _word(F.col("piece")))
     return rows.where(F.call_function("shiftright", word, _place(F.col("piece"))).bitwiseAND(F.lit(1)) == 1)
 

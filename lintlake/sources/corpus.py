@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import ascii_lower, basename, count_lines, literal_array, split_lines
+from ..functions.text import ascii_lower, basename, count_lines, exploded, literal_array, split_lines
 
 
 def language_of(path: Column) -> Column:
@@ -144,12 +144,10 @@ def as_files(df: DataFrame, project: Column, path: Column, content: Column) -> D
 
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per numbered line; ``line_no`` starts at 1. No shuffle."""
-    return files.select(
-        "project",
-        "path",
-        "language",
-        F.posexplode(split_lines(F.col("content"))).alias("pos", "text"),
-    ).select("project", "path", "language", (F.col("pos") + 1).alias("line_no"), "text")
+    rows = exploded(
+        files, ["project", "path", "language"], split_lines(F.col("content")), "pos", "text", numbered=True
+    )
+    return rows.select("project", "path", "language", (F.col("pos") + 1).alias("line_no"), "text")
 
 
 def corpus_stats(files: DataFrame) -> DataFrame:
