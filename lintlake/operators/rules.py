@@ -21,6 +21,7 @@ from ..functions.codelines import (
 from ..functions.secrets import may_hold_secret, secret_kind
 from ..functions.text import let, split_lines
 from ..schemas import FINDING_COLUMNS, FINDINGS
+from ..sources.corpus import explode_lines
 from .duplicates import REPEATS, with_repeats
 
 
@@ -226,25 +227,47 @@ def scan_findings(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFr
     return _with_extra_rules(found, files, config)
 
 
+def line_rule(
+    name: str, title: str, category: str, severity: str,
+    hits: Callable[[Column, Column], Column], message: Callable[[Column], Column], suggestion: str | None = None,
+) -> Callable[[DataFrame], DataFrame]:
+    """A rule on single lines made of Columns, the fast path: no line leaves the JVM and none is shuffled.
+
+    ``hits(text, language)`` tells whether a line is reported, ``message(text)`` what with. A NULL is no hit.
+    """
+
+    def rule(files: DataFrame) -> DataFrame:
+        text = F.col("text")
+        return explode_lines(files).where(hits(text, F.col("language"))).select(
+            "project", F.lit(name).alias("rule"), F.lit(title).alias("title"), F.lit(category).alias("category"),
+            F.lit(severity).alias("severity"), "path", "line_no", message(text).alias("message"),
+            F.lit(suggestion).cast("string").alias("suggestion"),
+        )
+
+    return rule
+
+
 def python_rule(check: Callable[[str, str, str], Iterable[dict]]) -> Callable[[DataFrame], DataFrame]:
     """Turn a per-file Python function into a rule.
 
     ``check(path, language, content)`` yields dicts with the finding columns except
-    project and path. It runs over Arrow batches where the files already are, so a
-    custom rule needs no shuffle either.
+    project and path; a missing ``suggestion`` is NULL. It becomes a table function of the
+    declared schema, joined laterally to the files where they are, so a custom rule needs no
+    shuffle either. Rules that Columns can express are faster as ``line_rule``.
     """
-    import pandas as pd
+    own = [c for c in FINDING_COLUMNS if c not in ("project", "path")]
+    schema = ", ".join(part for part in FINDINGS.split(", ") if part.split()[0] in own)
+
+    class Check:
+        def eval(self, path: str, language: str, content: str):
+            for found in check(path, language, content):
+                yield tuple(found.get(c) for c in own)
 
-    def run(batches):
-        for batch in batches:
-            rows = [
-                {"project": f.project, "path": f.path, "suggestion": None, **found}
-                for f in batch.itertuples(index=False)
-                for found in check(f.path, f.language, f.content)
-            ]
-            yield pd.DataFrame(rows, columns=FINDING_COLUMNS)
+    findings = F.udtf(Check, returnType=schema, useArrow=True)
 
     def rule(files: DataFrame) -> DataFrame:
-        return files.select("project", "path", "language", "content").mapInPandas(run, FINDINGS)
+        inputs = [F.col(c).outer() for c in ("path", "language", "content")]
+        placed = files.select("project", "path", "language", "content")
+        return placed.lateralJoin(findings(*inputs)).select(*FINDING_COLUMNS)
 
     return rule

@@ -137,25 +137,15 @@ def duplicate_pairs(spark, d):
 LONG_LINE = 400
 
 
-def _long_lines(path: str, language: str, content: str):
-    """A custom rule in plain Python: lines that are too long to review."""
-    for number, text in enumerate(content.replace("\r\n", "\n").split("\n"), 1):
-        if len(text) > LONG_LINE:
-            yield {
-                "rule": "long-line",
-                "title": "Long line",
-                "category": "Quality",
-                "severity": "INFO",
-                "line_no": number,
-                "message": f"{len(text)} characters",
-            }
-
-
 @query
 def registered_rule(spark, d):
     """A user rule from the registry, run over every file next to no built-in rule."""
     if "long-line" not in RU.rule_ids():
-        RU.register_rule("long-line", RU.python_rule(_long_lines))
+        RU.register_rule("long-line", RU.line_rule(
+            "long-line", "Long line", "Quality", "INFO",
+            lambda text, language: F.length(text) > LONG_LINE,
+            lambda text: F.concat(F.length(text).cast("string"), F.lit(" characters")),
+        ))
     found = RU.scan_findings(D.code_corpus(spark, d), _only(extra_rules=("long-line",)))
     return found.select("project", "path", "line_no", "message")
 
