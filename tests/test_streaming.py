@@ -89,6 +89,25 @@ def test_a_scan_that_arrives_twice_changes_nothing(spark, tmp_path):
     assert signs == [[("file", 4, 1), ("x", 1, 1)], [], [("file", 4, -1), ("file", 5, 1), ("x", 1, -1), ("x", 2, 1), ("x", 2, 1)], []]
 
 
+def test_paths_share_state_by_bucket(spark, tmp_path):
+    """Forty paths in three buckets: three states, and each path's differences are its own."""
+    scans, out = str(tmp_path / "scans"), str(tmp_path / "out")
+    row = lambda project, path, line, lines: (project, "x" if line else None, "t", "c", "HIGH" if line else None, path, line, "m", None, lines)
+    both = [(project, f"f{i}.py") for project in "pq" for i in range(20)]
+    first = [row(*of, 1, None) for of in both] + [row(*of, None, 4) for of in both]
+    second = [row("p", "f3.py", 2, None), row("p", "f3.py", None, 4), row("q", "f3.py", None, 4)]
+    signs = []
+    for batch_id, rows in enumerate((first, second)):
+        WA.packed(spark.createDataFrame(rows, WA.SCANNED)).coalesce(1).write.mode("append").parquet(f"{scans}/batch_id={batch_id}")
+        query = SI.run_to_table(WA.scan_changes(spark, scans, buckets=3), out, str(tmp_path / "ckpt"), "update")
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+        seen = spark.read.schema(f"{WA.CHANGES}, batch_id BIGINT").parquet(out).where(F.col("batch_id") == batch_id)
+        signs.append(sorted((r.project, r.path, r.line_no or 0, r.sign) for r in seen.collect()))
+    assert signs[0] == sorted((*of, line, 1) for of in both for line in (0, 1))
+    assert signs[1] == [("p", "f3.py", 1, -1), ("p", "f3.py", 2, 1), ("q", "f3.py", 1, -1)]
+
+
 def test_config_is_loaded_per_batch(spark, tmp_path):
     root, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
     configs = iter([RU.ScanConfig(), RU.ScanConfig(dangerous_commands=False)])
