@@ -37,6 +37,11 @@ def save_run(outcomes: DataFrame, run_id: str, path: str) -> None:
     projects.write.mode("overwrite").parquet(f"{path}/commits/run_id={run_id}")
 
 
+def saved_run(spark: SparkSession, run_id: str, path: str) -> DataFrame:
+    """The outcomes of one saved run."""
+    return spark.read.schema(TEST_RUNS).parquet(f"{path}/rows/run_id={run_id}").drop("run_id")
+
+
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
     """Outcomes of the latest committed run of each project.
 

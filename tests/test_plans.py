@@ -75,6 +75,17 @@ def test_responses_are_judged_by_aggregates(spark):
     assert "Window" not in text and text.count("partial_max_by") == 1 and text.count("partial_min") >= 1
 
 
+def test_each_response_is_shuffled_and_joined_once(spark):
+    """Where a case stops needs no plan, and expectations are tested on the deciding response only."""
+    from lintlake.operators import probes as PR
+    from lintlake.operators import responses as RE
+
+    plans = PR.request_plan(PR.expand_cases(D.probe_cases(spark, SF)))
+    text = plan(RE.judge_cases(plans, D.recorded_responses(spark, SF)))
+    assert text.count("Join ") == 3
+    assert all("lambda" not in line for line in text.splitlines() if "partial_max_by" in line)
+
+
 def test_package_use_is_one_join_on_keys(spark):
     """One read of the corpus and one join, and rows without a use of their own meet no hot key."""
     files = docs(spark)
