@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -16,6 +16,11 @@ from ..functions import fixed_values as V
 Mapping = tuple[str, str, str, str]
 
 
+def has_mapped_issue(mappings: Sequence[Mapping] = V.FRAMEWORK_MAPPINGS) -> Column:
+    """Whether a planned case can count as a weakness; the others need not be judged for that."""
+    return F.col("issue_id").isin([m[0] for m in mappings])
+
+
 def finding_keys(findings: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """Rule ids of findings, plus issue ids of vulnerable outcomes. Repeats are kept.
 

@@ -295,7 +295,8 @@ def compliance_status(spark, d):
 
 @query
 def weakness_counts(spark, d):
-    return CO.weakness_counts(CO.finding_keys(_findings(spark, d), _outcomes(spark, d)))
+    outcomes = RE.judge_cases(_plans(spark, d).where(CO.has_mapped_issue()), D.recorded_responses(spark, d))
+    return CO.weakness_counts(CO.finding_keys(_findings(spark, d), outcomes))
 
 
 # --- history ----------------------------------------------------------------------------

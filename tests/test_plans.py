@@ -86,6 +86,20 @@ def test_each_response_is_shuffled_and_joined_once(spark):
     assert all("lambda" not in line for line in text.splitlines() if "partial_max_by" in line)
 
 
+def test_weaknesses_judge_mapped_issues_only(spark):
+    """Cases of an issue that no weakness maps to stay out before their responses are judged; the counts stay."""
+    from lintlake.operators import compliance as CO
+    from lintlake.operators import probes as PR
+    from lintlake.operators import responses as RE
+
+    plans, responses = PR.request_plan(PR.expand_cases(D.probe_cases(spark, SF))), D.recorded_responses(spark, SF)
+    none = spark.createDataFrame([], "project STRING, rule STRING")
+    mapped = plans.where(CO.has_mapped_issue())
+    assert 0 < mapped.count() < plans.count()
+    counts = [sorted(map(tuple, CO.weakness_counts(CO.finding_keys(none, RE.judge_cases(p, responses))).collect())) for p in (plans, mapped)]
+    assert counts[0] == counts[1] and counts[0]
+
+
 def test_package_use_is_one_join_on_keys(spark):
     """One read of the corpus and one join, and rows without a use of their own meet no hot key."""
     files = docs(spark)
