@@ -271,6 +271,40 @@ def test_secrets_inside_long_runs_and_short_ones(spark):
     assert np.allclose(network.probability(frames), network.forward(secrets.codes(frames))[-1], atol=1e-4)
 
 
+def test_secret_network_learns_from_every_text(spark):
+    """Texts beyond the start move the weights, each task by its frames; the threshold counts all held-out positives of the table."""
+    rng = np.random.default_rng(4)
+    plain = [f"ordinary-words-run-{'abcdefghij'[i % 10] * 9} and /some/path/{i}/of/it/that/goes/on/longer/than/a/frame/holds é🙂" for i in range(60)]
+    rows = [(i, f'{t} token = "{rng.bytes(20).hex()}" AKIA{i:016d}' if i % 2 else t) for i, t in enumerate([*plain, None, "", "x" * 99, "\0abcdefgh"])]
+    table = lambda rows, tasks=1: spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "doc_id long, text string")
+    full = secrets.fit(table(rows), 4)
+    last = max(spark.createDataFrame(rows[:60:2], "doc_id long, text string").selectExpr("xxhash64(doc_id, text) h", "doc_id").collect())["doc_id"]
+    assert not np.array_equal(full.weights(), secrets.fit(table([r for r in rows if r[0] != last]), 4).weights())
+
+    labelled = []
+    for _, text in rows:
+        text, found = text or "", secrets.secret_spans(text or "")
+        for a, b in (piece for run in secrets.candidates(text) for piece in secrets.pieces(*run)):
+            labelled.append((secrets.window(text, a, b), any(min(b, e) - max(a, s) >= secrets.MIN_RUN for s, e in found)))
+    layout = secrets.Layout([t or "" for _, t in rows])
+    assert np.array_equal(layout.codes(slice(None)), secrets.codes([f for f, _ in labelled])) and [v for _, v in labelled] == layout.labels().tolist()
+    assert [layout.frame(i) for i in range(len(labelled))] == [f for f, _ in labelled]
+
+    x, y = secrets.codes([f for f, _ in labelled[:40]]), np.array([float(v) for _, v in labelled[:40]])
+    begun = secrets.train(x, y, epochs=2)
+    run = lambda docs: secrets.train_on_all(docs, begun, x, y, frozenset(), frozenset())
+    net, held_out = run(table(rows, 2))
+    want = {f for f, v in labelled if v and zlib.crc32(f.encode()) % 5 == 4}
+    assert want and {r.frame for r in held_out.collect()} == want
+    layouts = [secrets.Layout([t or "" for _, t in r]) for r in (rows[:32], rows[32:])]
+    seen = [sum(part.frame(i) not in want for i in range(len(part.owner))) for part in layouts]
+    parts = [run(table(r))[0].weights() for r in (rows[:32], rows[32:])]
+    assert np.allclose(net.weights(), np.average(parts, axis=0, weights=seen))
+    assert not np.allclose(parts[0], parts[1]) and not np.allclose(net.weights(), begun.weights())
+    scores = net.probability([d for f in want for d in [f] * 10 + secrets._dresses(f, 20)])
+    assert secrets.threshold_of_all(held_out, net) == int(secrets.recall_threshold(scores) * secrets.SCALE) / secrets.SCALE
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
 
